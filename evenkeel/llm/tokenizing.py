@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 
-CACHE_PIECES = 1_500_000
-CACHE_BYTES = 96 << 20
+CACHE_PIECES, CACHE_STEMS = 500_000, 900_000
 JOINED = 2_000
+LONG = 1_000
+TAIL = ".,;:!?#$%&*|()"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -23,6 +24,13 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
@@ -35,38 +43,72 @@ class Encoder:
         # a special token stands between pieces that are encoded together
         self.mark, self.mark_id = max(special.items(), key=lambda x: x[1]) if special else (None, None)
         self.special = tuple(special)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.word_ends = None
+        if suffix:
+            size = max(self.tokenizer.get_vocab().values()) + 1
+            self.word_ends = np.zeros(size, bool)
+            self.word_ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.held: dict[str, bytes] = {}
-        self.held_bytes = 0
+        self.stems: dict[str, bytes] = {}
 
     def _plain(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.held) > CACHE_PIECES or self.held_bytes > CACHE_BYTES:
-            self.held, self.held_bytes = {}, 0
-        joined, alone = [], []
+        """Put the ids of `pieces` into the table; a full table is emptied first."""
+        if len(self.held) > CACHE_PIECES:
+            self.held = {}
+        if len(self.stems) > CACHE_STEMS:
+            self.stems = {}
+        words, joined, alone, built = set(), [], [], []
         for piece in pieces:
-            odd = self.mark is None or len(piece) > 1_000 or any(s in piece for s in self.special)
-            (alone if odd else joined).append(piece)
+            stem = piece.rstrip(TAIL)
+            if self.word_ends is not None and len(piece) <= LONG and stem.isalpha():
+                # letters, then punctuation: the pre-tokenizer cuts between them
+                tail = piece[len(stem) :]
+                if tail and tail not in self.stems:
+                    self.stems[tail] = self._plain(tail)
+                if stem not in self.stems:
+                    words.add(stem)
+                built.append((piece, stem, tail))
+            elif self.mark is None or len(piece) > LONG or any(s in piece for s in self.special):
+                alone.append(piece)
+            else:
+                joined.append(piece)
+        self._many(list(words), " ", self.stems)
+        self._many(joined, self.mark, self.held)
         for piece in alone:
             self.held[piece] = self._plain(piece)
-        for at in range(0, len(joined), JOINED):
-            part = joined[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            raw, low = ids.tobytes(), 0
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4
+        for piece, stem, tail in built:
+            self.held[piece] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
+
+    def _many(self, pieces: list[str], between: str, into: dict[str, bytes]) -> None:
+        """Encode many pieces in one call; a piece ends at a special token, or with an end-of-word token."""
+        for at in range(0, len(pieces), JOINED):
+            part = pieces[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            if between == " ":
+                ends = np.flatnonzero(self.word_ends[ids]) + 1
+                skip = 0
+            else:
+                ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+                skip = 4
             if len(ends) != len(part):
-                self.held.update((p, self._plain(p)) for p in part)
+                into.update((p, self._plain(p)) for p in part)
                 continue
-            for piece, high in zip(part, ends.tolist()):
-                self.held[piece] = raw[low:high]
-                low = high + 4
-        self.held_bytes += sum(len(p) for p in pieces) + 100 * len(pieces)
+            raw, low = ids.tobytes(), 0
+            for piece, high in zip(part, (4 * ends).tolist()):
+                into[piece] = raw[low:high]
+                low = high + skip
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is the empty text."""
         out = []
         for text in texts:
+            if text and self.folds and "<|" not in text and _latin(text):
+                text = text.lower()  # as the vocabulary's normalizer does; it has one letter for one here
             pieces = text.replace("\n", " ").split(" ") if text else []
             missing = set(pieces).difference(self.held)
             if missing:
