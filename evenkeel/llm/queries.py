@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, pii, secrets, token_files, warc
+from . import decontam, neardup, packing, pii, secrets, token_files, warc
 
 CAPACITY, PACK_END, FILE_END = 2048, 0, 1
 
@@ -41,12 +41,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.clusters(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_winnowing, op3_best_fit_packing, op5_token_files, op7_pii, op8_secrets, op10_warc)
+    f.__name__: f for f in (op2_winnowing, op3_best_fit_packing, op5_token_files, op7_pii, op8_secrets, op9_minhash, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
