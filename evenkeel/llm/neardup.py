@@ -6,18 +6,19 @@
    (1 - 0.75^4)^32 < 6e-6.
 2. Classes. Documents with equal sets are one class, represented by the smallest
    doc_id; only representatives go on.
-3. Candidates. In each bucket (band hash) every member is paired with the
-   smallest one, so pairs grow with the members, not with their square.
-4. Estimates. The bit counts of two packed signatures give a similarity,
-   corrected for chance collisions of BITS bits; pairs over MARGIN (five standard
-   errors) below the threshold are dropped.
-5. Verification on full sets: a centre's set meets its members' in sorted
-   streams, salted so that no stream is long.
-6. Components of the verified links. Buckets that still hold several components
-   might hide a link between two of them: the members of different components
-   are compared by their signatures, in blocks of bounded size, and the nearest
-   untested pairs verified, more with every round, until no pair is left that
-   could join two components. No candidate is left out for a bucket's size.
+3. Candidates and estimates. In each bucket (band hash) the bit counts of the
+   packed signatures estimate similarities, corrected for chance collisions of
+   BITS bits. Pairs over MARGIN (five standard errors) below the threshold are
+   dropped; of the others a spanning forest is kept, so a bucket of n members
+   makes under n pairs, and the connected groups of these pairs hold every link.
+4. Verification on full sets, within each group: the exact intersections of all
+   members come from one product of bit rows, and a spanning forest of the links
+   is kept, which has the same components as all links.
+5. Components of the verified links.
+
+Groups and buckets of any size are whole: beyond BLOCK members they are cut into
+blocks. Blocks are first compared within themselves; then only members outside a
+group's largest component (which a link could still join) meet the other blocks.
 
 Defined results: null or wordless text has no shingles and no links. doc_id is
 the key: rows that repeat it are versions of one document and share its
@@ -31,7 +32,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +44,8 @@ PERMUTATIONS, ROWS, BITS = 128, 4, 4
 BANDS = PERMUTATIONS // ROWS
 NEED, OF = 75, 100
 MARGIN = 0.2
-BLOCK = 2_000
-STREAM = 400
-PAIRS_FIRST, PAIRS_GROWTH = 4, 16
+BLOCK = 1_000
+BLOCK_SHINGLES = 2_000
 
 _random = np.random.RandomState(20_240)
 FACTORS = (_random.randint(0, 2**31, PERMUTATIONS).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -96,133 +95,179 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """The similarity that two packed signatures show, corrected for chance collisions of BITS bits."""
-    ones = sum(1 << i for i in range(0, 64, BITS))
-    ones -= (ones >> 63) << 64
-
-    def differing(x: Column, y: Column) -> Column:
-        d = x.bitwiseXOR(y)
-        for by in (2, 1):  # BITS is 4: any set bit of a cell reaches its lowest
-            d = d.bitwiseOR(F.shiftrightunsigned(d, by))
-        return F.bit_count(d.bitwiseAND(F.lit(ones).cast("long")))
-
-    same = 1 - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda acc, x: acc + x) / PERMUTATIONS
-    return (same - 2.0**-BITS) / (1 - 2.0**-BITS)
-
-
-def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose estimate is not clearly below the threshold."""
-    left = reps.select(F.col("rep").alias("a"), F.col("packed").alias("pa"))
-    right = reps.select(F.col("rep").alias("b"), F.col("packed").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").where(similarity(F.col("pa"), F.col("pb")) >= NEED / OF - MARGIN).select("a", "b")
+def _groups(batches, columns: tuple[str, ...]):
+    """Whole groups of rows with equal `key` from batches sorted by it: dicts of arrays."""
+    rest: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        now = {"key": batch.column("key").to_numpy()}
+        for name in columns:
+            column = batch.column(name)
+            if pa.types.is_list(column.type):
+                now[name] = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+            elif pa.types.is_string(column.type):
+                now[name] = np.array(column.to_pylist(), object)
+            else:
+                now[name] = column.to_numpy(zero_copy_only=False)
+        if not len(batch):
+            continue
+        if rest is not None:
+            now = {k: np.concatenate([rest[k], v]) for k, v in now.items()}
+        cuts = np.flatnonzero(np.diff(now["key"])) + 1
+        for low, high in zip([0, *cuts[:-1]], cuts):
+            yield {k: v[low:high] for k, v in now.items()}
+        last = cuts[-1] if len(cuts) else 0
+        rest = {k: v[last:] for k, v in now.items()}
+    if rest is not None:
+        yield rest
+
+
+class Forest:
+    """A spanning forest of links between the members of a block."""
+
+    def __init__(self, n: int):
+        self.label, self.pairs = np.arange(n), []
+
+    def add(self, k: int, near: np.ndarray) -> None:
+        """Members `near` are linked with member k."""
+        while len(near):
+            near = near[self.label[near] != self.label[k]]
+            if len(near):
+                self.pairs.append((k, int(near[0])))
+                self.label[self.label == self.label[near[0]]] = self.label[k]
+
+
+ONES = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
+LEAST_SAME = (NEED / OF - MARGIN) * (1 - 2.0**-BITS) + 2.0**-BITS  # of the bit groups, for an estimate over NEED / OF - MARGIN
+
+
+def same_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of equal BITS-bit minima in packed signatures."""
+    d = a ^ b
+    d |= d >> np.uint64(2)  # BITS is 4: any set bit of a cell reaches its lowest
+    d |= d >> np.uint64(1)
+    return 1 - np.bitwise_count(d & ONES).sum(axis=-1, dtype=np.int64) / PERMUTATIONS
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarity that packed signatures show, corrected for chance collisions."""
+    return (same_share(a, b) - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _estimate(batches):
+    """Spanning forests of the pairs of each bucket that may be similar enough."""
+    out: list[tuple[int, int]] = []
+    for group in _groups(batches, ("rep", "packed")):
+        ids, packs = group["rep"], group["packed"].view(np.uint64)
+        forest = Forest(len(ids))
+        for k in range(len(ids) - 1):
+            forest.add(k, k + 1 + np.flatnonzero(same_share(packs[k], packs[k + 1 :]) >= LEAST_SAME))
+        out += [(int(ids[x]), int(ids[y])) for x, y in forest.pairs]
+        if len(out) > 100_000:
+            yield _edges(out)
+            out = []
+    yield _edges(out)
+
+
+def linked_rows(sets: list[np.ndarray]):
+    """For each set the later ones that are similar enough: pairs of a place and an array of places."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    if len(sets) == 2:
+        shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        yield 0, np.arange(1, 2)[OF * shared >= NEED * (sizes[1:] + sizes[0] - shared)]
+        return
+    # a bit row for each member over the shingles that two or more of them have
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    width = -(-int((counts > 1).sum()) // 64)
+    rows = np.zeros((len(sets), max(1, width)), np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    used = counts[inverse] > 1
+    at = place[inverse[used]]
+    np.bitwise_or.at(rows, (owner[used], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+    for k in range(len(sets) - 1):
+        # sizes that can't reach the threshold are left out first
+        later = k + 1 + np.flatnonzero((OF * np.minimum(sizes[k + 1 :], sizes[k]) >= NEED * np.maximum(sizes[k + 1 :], sizes[k])) & (sizes[k + 1 :] > 0))
+        own = np.flatnonzero(rows[k])
+        shared = np.bitwise_count(rows[later][:, own] & rows[k, own]).sum(axis=1, dtype=np.int64) if len(later) else later
+        yield k, later[OF * shared >= NEED * (sizes[later] + sizes[k] - shared)]
+
+
+def _verify(batches):
+    """Spanning forests of the verified links of each block."""
+    out: list[tuple[int, int]] = []
+    for group in _groups(batches, ("doc_id", "text")):
+        sets = [shingles.shingle_set(x) for x in group["text"]]
+        forest = Forest(len(sets))
+        for k, near in linked_rows(sets) if len(sets) > 1 else ():
+            forest.add(k, near)
+        out += [(int(group["doc_id"][x]), int(group["doc_id"][y])) for x, y in forest.pairs]
+        if len(out) > 100_000:
+            yield _edges(out)
+            out = []
+    yield _edges(out)
+
+
+def _blocks_of(group: Column, blocks: Column, own: Column, other: Column) -> Column:
+    return F.xxhash64(group, F.least(own, other), F.greatest(own, other), blocks)
+
+
+def _in_pairs(rows: DataFrame, group: str, member: str, weight: Column, limit: int) -> DataFrame:
+    """Rows with a `key` for each pair of blocks of their group; a group within the limit has one key."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum(weight) / limit).cast("int").alias("blocks")).where("n > 1").select(group, "blocks")
+    placed = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
+    return placed.withColumn("key", _blocks_of(F.col(group), F.col("blocks"), F.col("own"), F.col("other")))
+
+
+def candidate_groups(reps: DataFrame) -> DataFrame:
+    """(id, component): the groups of representatives that may be linked."""
+    members = reps.select("rep", F.explode("bands").alias("hash"))
+    shared = members.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    rows = store.written(members.join(shared, "hash").select("hash", "rep"), "buckets")
+    keyed = _in_pairs(rows, "hash", "rep", F.lit(1), BLOCK).select("key", "rep").join(reps.select("rep", "packed"), "rep")
+    dealt = keyed.repartition("key").sortWithinPartitions("key").select("key", "rep", "packed")
+    return components(dealt.mapInArrow(_estimate, "a long, b long"))
 
 
-def _compare(batches):
-    """Streams sorted by (a, salt, role): a centre's versions, then the documents to compare with it."""
-    now, centres = None, []
-    for batch in batches:
-        out_a, out_b = [], []
-        for a, salt, role, other, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if (a, salt) != now:
-                now, centres = (a, salt), []
-            found = shingles.shingle_set(text)
-            if role == 0:
-                centres.append(found)
-                continue
-            for centre in centres:
-                small, large = (found, centre) if len(found) < len(centre) else (centre, found)
-                if len(small) == 0 or OF * len(small) < NEED * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                shared = int((large[at] == small).sum())
-                if OF * shared >= NEED * (len(found) + len(centre) - shared):
-                    out_a.append(a)
-                    out_b.append(other)
-                    break
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough, as a written table."""
-    pairs = store.written(pairs, "pairs")
-    streams = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STREAM).alias("streams"))
-    members = pairs.join(streams, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("streams")).cast("int").alias("salt"), F.lit(1).alias("role"))
-    centres = streams.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("streams").cast("int") - 1)).alias("salt"), F.lit(0).alias("role"))
-    asked = store.written(members.unionByName(centres), "asked")
-    rows = _texts(docs).join(asked, F.col("doc_id") == F.col("id")).select("a", "salt", "role", "id", "text")
-    dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return store.written(dealt.mapInArrow(_compare, "a long, b long").distinct(), "verified")
-
-
-def _across(buckets: DataFrame, most: int) -> DataFrame:
-    """Pairs of members of different components of a bucket, the `most` nearest of each two components in a block."""
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        rows = rows.sort_values("rep")
-        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
-        x, y = np.stack(left["packed"].to_numpy()).view(np.uint64), np.stack(right["packed"].to_numpy()).view(np.uint64)
-        ids_x, ids_y = left["rep"].to_numpy(), right["rep"].to_numpy()
-        comp_x, comp_y = left["component"].to_numpy(), right["component"].to_numpy()
-        ones = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
-        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-        for k in range(len(x)):
-            d = x[k] ^ y
-            d |= d >> np.uint64(2)
-            d |= d >> np.uint64(1)
-            same = 1 - np.bitwise_count(d & ones).sum(axis=1) / PERMUTATIONS
-            near = ((same - 2.0**-BITS) / (1 - 2.0**-BITS) >= NEED / OF - MARGIN) & (comp_y != comp_x[k])
-            if i == j:
-                near[: k + 1] = False
-            for t in np.flatnonzero(near):
-                a, b = sorted((int(ids_x[k]), int(ids_y[t])))
-                held = found.setdefault(tuple(sorted((int(comp_x[k]), int(comp_y[t])))), [])
-                held.append((-float(same[t]), a, b))
-                if len(held) > 4 * most:
-                    held.sort()
-                    del held[most:]
-        out = sorted({(a, b) for held in found.values() for _, a, b in sorted(held)[:most]})
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    n = buckets.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = buckets.join(n, "hash").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    # a block that has no rows on one side makes no pairs
-    kept = dealt.select("hash", "i", "j", "block", "rep", "component", "packed")
-    return kept.groupBy("hash", "i", "j").applyInPandas(lambda r: compare(r) if {int(r["i"].iloc[0]), int(r["j"].iloc[0])} <= set(r["block"]) else pd.DataFrame({"a": [], "b": []}, dtype="int64"), "a long, b long")
+def verified(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) within each key of rows (key, doc_id), as a written table."""
+    texts = _texts(docs).join(rows.select("key", F.col("doc_id").alias("id")), F.col("doc_id") == F.col("id")).select("key", "doc_id", "text")
+    dealt = texts.repartition("key").sortWithinPartitions("key")
+    return store.written(dealt.mapInArrow(_verify, "a long, b long").distinct(), "verified")
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures of all rows, the classes (set_key, rep, ...), and the verified links (a, b) between representatives."""
+    """Signatures of all rows, the classes (set_key, rep, ...), and a spanning forest of the links (a, b) of representatives."""
     signed = store.written(_texts(docs).mapInArrow(_sign, SIGNATURES), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    first = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "packed", "bands")).alias("x"))
-    reps = store.written(first.select("set_key", F.col("x.doc_id").alias("rep"), F.col("x.packed").alias("packed"), F.col("x.bands").alias("bands")), "classes")
-    members = reps.select("rep", F.explode("bands").alias("hash"))
-    centres = members.groupBy("hash").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "a")
-    shared = store.written(members.join(centres, "hash").select("hash", "a", F.col("rep").alias("b")), "buckets")
-    tested = store.written(_near(shared.where("a <> b").select("a", "b").distinct(), reps), "near")
-    links = verify(tested, docs)
-    most = PAIRS_FIRST
-    # the versions of a doc_id, where it is repeated, are one vertex
-    while True:
-        found = components(links)
-        placed = shared.select("hash", F.col("b").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("hash", "rep", F.coalesce("component", "rep").alias("component"))
-        placed = store.written(placed, "placed")
-        mixed = placed.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("hash")
-        open_ = placed.join(mixed, "hash").join(reps.select("rep", "packed"), "rep")
-        fresh = _across(open_, most).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = store.written(fresh, "fresh")
-        n = fresh.count()
-        if n == 0 and most >= 1 << 30:
-            return signed, reps, links
-        if n:
-            checked = verify(fresh, docs)
-            links = store.written(links.unionByName(checked), "links-so-far")
-            tested = store.written(tested.unionByName(fresh), "tested")
-        most = most * PAIRS_GROWTH if n and most < 1 << 20 else 1 << 30
+    first = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "packed", "bands")).alias("x"))
+    reps = store.written(first.select("set_key", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("size"), F.col("x.packed").alias("packed"), F.col("x.bands").alias("bands")), "classes")
+    groups = candidate_groups(reps).join(reps.select(F.col("rep").alias("id"), "size"), "id").groupBy("id", "component").agg(F.max("size").alias("size"))
+    weight = F.greatest(F.lit(1.0), F.col("size") / BLOCK_SHINGLES)  # a block is bounded in members and in shingles
+    sizes = groups.groupBy("component").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("blocks"))
+    placed = store.written(groups.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "groups")
+    within = placed.select(_blocks_of(F.col("component"), F.col("blocks"), F.col("own"), F.col("own")).alias("key"), F.col("id").alias("doc_id"))
+    links = verified(within, docs)
+    if placed.where("blocks > 1").limit(1).count():
+        found = components(links).withColumnRenamed("component", "part")
+        parts = placed.where("blocks > 1").join(found, "id", "left").withColumn("part", F.coalesce("part", "id"))
+        counts = parts.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"))
+        largest = counts.groupBy("component").agg(F.max(F.struct("n", "part")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("component", F.col("x.part").alias("largest"))
+        open_ = store.written(parts.join(largest, "component").withColumn("minor", F.col("part") != F.col("largest")), "open")
+        minor = open_.where("minor").groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("minors"))
+        key = lambda mine, minor_block: F.xxhash64("component", mine, minor_block, F.lit("minor"))
+        both = open_.join(minor, "component")
+        # every minor block meets every block of its group
+        all_blocks = both.withColumn("m", F.explode(F.sequence(F.lit(0), F.col("minors") - 1))).select(key(F.col("own"), F.col("m")).alias("key"), F.col("id").alias("doc_id"))
+        own_minor = F.pmod(F.xxhash64("id", F.lit(1)), F.col("minors")).cast("int")
+        spread = both.where("minor").withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("mine <> own").select(key(F.col("mine"), own_minor).alias("key"), F.col("id").alias("doc_id"))
+        links = store.written(links.unionByName(verified(all_blocks.unionByName(spread), docs)), "links-so-far")
+    return signed, reps, links
 
 
 def clusters(docs: DataFrame) -> DataFrame:
