@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, packing, pii, secrets, token_files, warc
+from . import decontam, neardup, packing, pii, quality, secrets, token_files, warc
 
 CAPACITY, PACK_END, FILE_END = 2048, 0, 1
 
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_winnowing, op3_best_fit_packing, op5_token_files, op7_pii, op8_secrets, op9_minhash, op10_warc)
+    f.__name__: f for f in (op1_kneser_ney_quality, op2_winnowing, op3_best_fit_packing, op5_token_files, op7_pii, op8_secrets, op9_minhash, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
