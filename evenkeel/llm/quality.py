@@ -38,7 +38,7 @@ ORDER = 4
 SHARD = 4_000_000
 HELD = 2_000_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
-LOWER, UPPER, FLOOR = 8.0, 8.0, 0.02
+LOWER, UPPER, FLOOR = 5.0, 5.0, 0.02
 SYMBOLS = "#*$%&|<>"
 STATISTICS = "row_doc long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"
 

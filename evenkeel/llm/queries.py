@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, packing, pii, quality, secrets, token_files, warc
+from . import decontam, neardup, packing, pii, quality, repeats, secrets, token_files, warc
 
 CAPACITY, PACK_END, FILE_END = 2048, 0, 1
 
@@ -37,6 +37,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary(), FILE_END)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kneser_ney_quality, op2_winnowing, op3_best_fit_packing, op5_token_files, op7_pii, op8_secrets, op9_minhash, op10_warc)
+    f.__name__: f for f in (op1_kneser_ney_quality, op2_winnowing, op3_best_fit_packing, op5_token_files, op6_repeats, op7_pii, op8_secrets, op9_minhash, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
