@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, packing, pii, quality, repeats, secrets, token_files, warc
+from . import decontam, licenses, neardup, packing, pii, quality, repeats, secrets, token_files, warc
 
 CAPACITY, PACK_END, FILE_END = 2048, 0, 1
 
@@ -33,6 +33,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), CAPACITY, PACK_END)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary(), FILE_END)
 
@@ -58,7 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kneser_ney_quality, op2_winnowing, op3_best_fit_packing, op5_token_files, op6_repeats, op7_pii, op8_secrets, op9_minhash, op10_warc)
+    f.__name__: f for f in (op1_kneser_ney_quality, op2_winnowing, op3_best_fit_packing, op4_license_scan, op5_token_files, op6_repeats, op7_pii, op8_secrets, op9_minhash, op10_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
