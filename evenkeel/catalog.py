@@ -432,11 +432,11 @@ def remaining_now(spark, d):
     return status(spark, d).select("attempt", rounded(progress.remaining_now(F.col("passed_ms"), F.col("processed"), F.lit(400000)), 3).alias("remaining"))
 
 
-@query(f"SELECT attempt, round(CAST(10000 - processed AS DOUBLE) / CAST(processed AS DOUBLE) * (CAST(passed_ms AS DOUBLE) / 1000), 3) AS reduce_left, round(CAST(passed_ms AS DOUBLE) / CAST(processed AS DOUBLE) * 0.001 * (10000 - processed) + CASE WHEN phase_rank > 1 THEN 4.0 WHEN phase_rank > 0 THEN 2.0 ELSE 0.5 END, 3) AS map_left FROM ({STATUS_SQL})")
+@query(f"SELECT attempt, CAST(floor(CAST(10000 - processed AS DOUBLE) / CAST(processed AS DOUBLE) * (CAST(passed_ms AS DOUBLE) / 1000) + 1e-6) AS BIGINT) AS reduce_left, CAST(floor(CAST(passed_ms AS DOUBLE) / CAST(processed AS DOUBLE) * 0.001 * (10000 - processed) + CASE WHEN phase_rank > 1 THEN 4.0 WHEN phase_rank > 0 THEN 2.0 ELSE 0.5 END + 1e-6) AS BIGINT) AS map_left FROM ({STATUS_SQL})")
 def remaining_map_and_reduce(spark, d):
     sort = progress.sort_estimate(F.col("phase_rank"), 1, F.lit(2.0), F.lit(1000.0), F.lit(0.0005))
     left = progress.map_phase(progress.time_per_byte(F.col("passed_ms"), F.col("processed")), 10000 - F.col("processed"), sort)
-    return status(spark, d).select("attempt", rounded(progress.reduce_phase(F.col("passed_ms") / 1000, F.lit(10000), F.col("processed"), F.col("processed")), 3).alias("reduce_left"), rounded(left, 3).alias("map_left"))
+    return status(spark, d).select("attempt", F.floor(progress.reduce_phase(F.col("passed_ms") / 1000, F.lit(10000), F.col("processed"), F.col("processed")) + 1e-6).alias("reduce_left"), F.floor(left + 1e-6).alias("map_left"))
 
 
 def attempts(spark, d) -> DataFrame:
