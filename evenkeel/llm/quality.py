@@ -36,7 +36,8 @@ from .token_files import _blocks
 
 ORDER = 4
 SHARD = 4_000_000
-HELD = 2_000_000
+HELD = 1_500_000
+BLOCK_BYTES = 2 << 20
 LEAST_WORDS, MOST_REPEATED = 50, 50
 LOWER, UPPER, FLOOR = 5.0, 5.0, 0.02
 SYMBOLS = "#*$%&|<>"
@@ -84,7 +85,7 @@ def _count(batches):
 
     size = 0
     for whole in batches:
-        for batch in _blocks(whole):
+        for batch in _blocks(whole, BLOCK_BYTES):
             by_lang: dict[int, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 words = _words(text)
@@ -202,7 +203,7 @@ def _score(paths: list[str]):
     def run(batches):
         shards = Shards(paths)
         for whole in batches:
-            for batch in _blocks(whole):
+            for batch in _blocks(whole, BLOCK_BYTES):
                 langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
                 runs, sizes = [], []
                 for lang, text in zip(langs, texts):

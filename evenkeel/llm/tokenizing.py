@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CACHE_PIECES, CACHE_STEMS = 500_000, 900_000
+CACHE_PIECES, CACHE_STEMS = 400_000, 700_000
 JOINED = 2_000
 LONG = 1_000
 TAIL = ".,;:!?#$%&*|()"
