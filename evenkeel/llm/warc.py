@@ -37,6 +37,9 @@ VERSION = b"WARC/1.1\r\n"
 RANGE = 8 << 20
 ARCHIVE = 64 << 20
 CHUNK = 1 << 20
+MOST_TASKS = 20_000
+#: The table of shared payloads is broadcast up to so many rows (under 150 bytes each), and joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
 HEAD = 64 << 10
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -71,30 +74,38 @@ def _record(page_id, url, payload: bytes | None, size: int, digest: str, refers_
     return packer.compress(VERSION + lines.encode() + b"\r\n" + body + b"\r\n\r\n") + packer.flush()
 
 
+def shared_payloads(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """digest, first_id, twins: payloads that several rows have, and how many rows have them under the smallest id."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    keyed = rows.where(F.octet_length("html") >= min_revisit).select("page_id", F.sha2(F.col("html"), 256).alias("digest"))
+    by_page = keyed.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    # a null page_id is the smallest of a struct
+    both = by_page.groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.struct("page_id", "n")).alias("first")).where("n > 1")
+    return store.written(both.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.n").alias("twins")), "payloads")
+
+
 def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Each page with its payload's digest and size, whether it is a revisit, and of which page."""
+    shared = shared_payloads(pages, min_revisit)
+    if shared.count() <= BROADCAST_ROWS:
+        shared = F.broadcast(shared)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html"), 256)).withColumn("size", F.octet_length("html").cast("long"))
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keyed = keyed.where(F.octet_length("html") >= min_revisit).select("page_id", F.sha2(F.col("html"), 256).alias("digest"))
-    # only digests that occur again are joined; min over a struct keeps a null page_id as the smallest
-    first = keyed.groupBy("digest").agg(F.min(F.struct("page_id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.lit(True).alias("again"))
-    joined = rows.join(store.written(first, "payloads"), "digest", "left")
-    revisit = F.col("again").isNotNull() & (F.col("size") >= min_revisit)
-    return joined.select("page_id", "url", "html", "digest", "size", "first_id", F.when(revisit, ~F.col("page_id").eqNullSafe(F.col("first_id"))).otherwise(F.lit(False)).alias("revisit"), revisit.alias("shared"))
+    joined = rows.join(shared, "digest", "left")
+    again = F.col("twins").isNotNull()
+    is_first = F.col("page_id").eqNullSafe(F.col("first_id"))
+    columns = ["page_id", "url", "html", "digest", "size", "first_id"]
+    once = joined.where(~again | ~is_first | (F.col("twins") == 1)).select(*columns, F.when(again, ~is_first).otherwise(F.lit(False)).alias("revisit"))
+    # of rows that repeat the smallest page_id one holds the payload
+    rank = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("url").asc_nulls_first()))
+    twice = joined.where(again & is_first & (F.col("twins") > 1)).select(*columns, (rank > 1).alias("revisit"))
+    return once.unionByName(twice)
 
 
 def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE) -> DataFrame:
     """Write archives under `path`; returns the written table of archives with their sizes."""
     planned = plan_records(pages, min_revisit)
-    # rows that repeat the smallest page_id: one of them holds the payload
-    twins = pages.groupBy(F.col("page_id").cast("long").alias("page_id")).count().where("count > 1").select("page_id", F.lit(True).alias("twin"))
-    marked = planned.join(twins, planned["page_id"].eqNullSafe(twins["page_id"]), "left").drop(twins["page_id"])
-    once = marked.where(F.col("twin").isNull())
-    rank = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy(F.col("url").asc_nulls_first()))
-    twice = marked.where(F.col("twin").isNotNull()).withColumn("revisit", F.col("revisit") | (F.col("shared") & (rank > 1)))
-    columns = ["page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "digest", "size", "first_id", "revisit"]
-    records = once.select(*columns).unionByName(twice.select(*columns))
+    records = planned.withColumn("html", F.when(~F.col("revisit"), F.col("html")))
 
     def run(batches):
         context = TaskContext.get()
@@ -230,7 +241,8 @@ def read(spark: SparkSession, archives: DataFrame, range_bytes: int = RANGE) ->
                             out, held = [], 0
                 yield _batch(out)
 
-    return ranges.repartition(F.col("archive"), F.col("low")).mapInArrow(run, RECORDS)
+    n = archives.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    return ranges.repartition(max(1, min(int(n), MOST_TASKS))).mapInArrow(run, RECORDS)
 
 
 def _identity(urn: str | None) -> int | None:
