@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles
+from . import caches, shingles
 from .token_files import _blocks
 
 NEED, OF = 75, 100
@@ -146,6 +146,7 @@ def matches(text: str | None, known: list[Template]) -> tuple[int, list[tuple[st
 
 
 def _scan(batches):
+    caches.claim("words")
     known = templates()
     kind = pa.list_(pa.struct([("license", pa.string()), ("first_word", pa.int64()), ("containment", pa.float64())]))
     for whole in batches:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles, store
+from . import caches, shingles, store
 from .components import components
 from .token_files import _blocks
 
@@ -73,6 +73,7 @@ def band_hashes(least: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches):
+    caches.claim("words")
     for whole in batches:
         for batch in _blocks(whole):
             sizes, keys, packs, bands = [], [], [], []
@@ -199,6 +200,7 @@ def linked_rows(sets: list[np.ndarray]):
 
 def _verify(batches):
     """Spanning forests of the verified links of each block."""
+    caches.claim("words")
     out: list[tuple[int, int]] = []
     for group in _groups(batches, ("doc_id", "text")):
         sets = [shingles.shingle_set(x) for x in group["text"]]

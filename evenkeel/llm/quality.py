@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles, store
+from . import caches, shingles, store
 from .token_files import _blocks
 
 ORDER = 4
@@ -74,6 +74,7 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _count(batches):
+    caches.claim()
     held: dict[int, tuple[list, list]] = {}
 
     def emit():
@@ -201,6 +202,7 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
 
 def _score(paths: list[str]):
     def run(batches):
+        caches.claim("words")
         shards = Shards(paths)
         for whole in batches:
             for batch in _blocks(whole, BLOCK_BYTES):

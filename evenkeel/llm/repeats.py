@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import caches, store
 from .anchors import WINDOW, segments
 from .token_files import _blocks
 
@@ -51,6 +51,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _parse(batches):
+    caches.claim()
     for whole in batches:
         for batch in _blocks(whole):
             docs, found = [], []

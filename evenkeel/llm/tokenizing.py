@@ -10,15 +10,19 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import caches
+
 CACHE_PIECES, CACHE_STEMS = 400_000, 700_000
 JOINED = 2_000
 LONG = 1_000
 TAIL = ".,;:!?#$%&*|()"
 _encoders: dict[str, "Encoder"] = {}
+caches.register("tokens", _encoders.clear)
 
 
 def encoder(path: str) -> "Encoder":
     """One per Python worker and vocabulary; workers are reused between tasks."""
+    caches.claim("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
