@@ -32,8 +32,14 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-LINE_BYTES = fx.record_bytes("l_orderkey", "l_partkey", "l_linenumber")
+def revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
+def line_bytes():
+    return fx.record_bytes("l_orderkey", "l_partkey", "l_linenumber")
+
+
 SQL_LINE_BYTES = "strlen(CAST(l_orderkey AS VARCHAR)) + strlen(CAST(l_partkey AS VARCHAR)) + strlen(CAST(l_linenumber AS VARCHAR))"
 
 
@@ -46,7 +52,7 @@ def rounded(x, n: int = 4):
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS revenue FROM lineitem")
 def map_project(spark, d):
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rounded(REVENUE).alias("revenue"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rounded(revenue()).alias("revenue"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 10 AND l_shipdate >= TIMESTAMP '1995-01-01'")
@@ -90,7 +96,7 @@ def record_lengths(spark, d):
 def key_only_scan(spark, d):
     from .sources import key_sizes
 
-    return key_sizes(t(spark, d, "lineitem"), ["l_partkey"], LINE_BYTES)
+    return key_sizes(t(spark, d, "lineitem"), ["l_partkey"], line_bytes())
 
 
 # ------------------------------------------------------------ reduce
@@ -98,7 +104,7 @@ def key_only_scan(spark, d):
 
 @query("SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem GROUP BY l_suppkey")
 def reduce_sum(spark, d):
-    return op.Job(group=["l_suppkey"], reduce=[rounded(F.sum(REVENUE)).alias("revenue")]).run(t(spark, d, "lineitem"))
+    return op.Job(group=["l_suppkey"], reduce=[rounded(F.sum(revenue())).alias("revenue")]).run(t(spark, d, "lineitem"))
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 4) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, min(l_discount) AS min_disc, max(l_tax) AS max_tax, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
@@ -180,7 +186,7 @@ def circular_buffer_last_n(spark, d):
 
 @query(f"SELECT l_partkey, count(*) AS records, CAST(sum({SQL_LINE_BYTES}) AS BIGINT) AS bytes FROM lineitem GROUP BY l_partkey")
 def key_histogram(spark, d):
-    return statistics.key_histogram(t(spark, d, "lineitem"), ["l_partkey"], LINE_BYTES)
+    return statistics.key_histogram(t(spark, d, "lineitem"), ["l_partkey"], line_bytes())
 
 
 @query("SELECT source, count(*) AS records, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents GROUP BY source")
@@ -318,7 +324,7 @@ def partition_range_exclusive(spark, d):
 
 @query(f"SELECT CAST(l_partkey % 103 % 7 AS INTEGER) AS pid, count(*) AS records, CAST(sum({SQL_LINE_BYTES}) AS BIGINT) AS bytes FROM lineitem GROUP BY 1")
 def partition_load_report(spark, d):
-    return partitioners.load(t(spark, d, "lineitem"), partitioners.double_hash_id(F.col("l_partkey"), 103, 7), LINE_BYTES)
+    return partitioners.load(t(spark, d, "lineitem"), partitioners.double_hash_id(F.col("l_partkey"), 103, 7), line_bytes())
 
 
 @query("SELECT CAST(o_custkey % 5 AS INTEGER) AS pid, CAST(o_custkey % 5 AS INTEGER) AS place, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -332,17 +338,17 @@ def partition_placement(spark, d):
 
 @query(f"SELECT l_partkey, round(5e-7 * sum({SQL_LINE_BYTES}), 9) AS seconds FROM lineitem GROUP BY l_partkey")
 def cost_time_per_byte(spark, d):
-    return statistics.key_histogram(t(spark, d, "lineitem"), ["l_partkey"], LINE_BYTES).select("l_partkey", rounded(cost.LinearCost(planner.FALLBACK).column(F.col("records"), F.col("bytes")), 9).alias("seconds"))
+    return statistics.key_histogram(t(spark, d, "lineitem"), ["l_partkey"], line_bytes()).select("l_partkey", rounded(cost.LinearCost(planner.FALLBACK).column(F.col("records"), F.col("bytes")), 9).alias("seconds"))
 
 
 @query(f"SELECT l_partkey, round(8.1152477 + 1.3161168e-3 * count(*) + 4.5103178e-6 * sum({SQL_LINE_BYTES}), 6) AS seconds FROM lineitem GROUP BY l_partkey")
 def cost_linear_map(spark, d):
-    return statistics.key_histogram(t(spark, d, "lineitem"), ["l_partkey"], LINE_BYTES).select("l_partkey", rounded(cost.PRESETS["alignment-map"].column(F.col("records"), F.col("bytes")), 6).alias("seconds"))
+    return statistics.key_histogram(t(spark, d, "lineitem"), ["l_partkey"], line_bytes()).select("l_partkey", rounded(cost.PRESETS["alignment-map"].column(F.col("records"), F.col("bytes")), 6).alias("seconds"))
 
 
 @query(f"SELECT l_suppkey, round(2.7861694 + 2.4023880e-6 * count(*) + 9.1139572e-8 * sum({SQL_LINE_BYTES}) + 1.6168926e-7 * count(DISTINCT l_partkey), 6) AS seconds FROM lineitem GROUP BY l_suppkey")
 def cost_linear_reduce(spark, d):
-    rows = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("r"), F.sum(LINE_BYTES).alias("b"), F.count_distinct("l_partkey").alias("k"))
+    rows = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("r"), F.sum(line_bytes()).alias("b"), F.count_distinct("l_partkey").alias("k"))
     return rows.select("l_suppkey", rounded(cost.PRESETS["pagerank-reduce"].column(F.col("r"), F.col("b"), F.col("k")), 6).alias("seconds"))
 
 
@@ -359,7 +365,7 @@ def ols_multi(spark, d):
 
 @query("SELECT l_partkey, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem GROUP BY l_partkey")
 def skew_planned_aggregate(spark, d):
-    return reactive.aggregate(t(spark, d, "lineitem"), "l_partkey", [F.count(F.lit(1)).alias("n"), rounded(F.sum(REVENUE)).alias("revenue")], LINE_BYTES, [0.0] * 4)
+    return reactive.aggregate(t(spark, d, "lineitem"), "l_partkey", [F.count(F.lit(1)).alias("n"), rounded(F.sum(revenue())).alias("revenue")], line_bytes(), [0.0] * 4)
 
 
 @query("SELECT doc_id, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents GROUP BY doc_id")
@@ -372,7 +378,7 @@ def skew_planned_text_bytes(spark, d):
 def skew_planned_hot_key(spark, d):
     """One key holds almost all rows: it gets a range of its own."""
     rows = t(spark, d, "lineitem").withColumn("key", 1 + F.least(F.col("l_partkey"), F.lit(40)))
-    return reactive.aggregate(rows, "key", [F.count(F.lit(1)).alias("n")], LINE_BYTES, [0.0] * 4, "LONGEST")
+    return reactive.aggregate(rows, "key", [F.count(F.lit(1)).alias("n")], line_bytes(), [0.0] * 4, "LONGEST")
 
 
 @query("SELECT l_partkey, CAST(sum(l_quantity) AS DOUBLE) AS qty FROM lineitem GROUP BY l_partkey")
