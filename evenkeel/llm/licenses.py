@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import caches, shingles
+from . import caches, shingles, store
 from .token_files import _blocks
 
 NEED, OF = 75, 100
@@ -158,6 +158,7 @@ def _scan(batches):
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words and matches (license, first_word, containment) of each row."""
+    store.short_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan, "doc_id long, n_words long, matches array<struct<license:string,first_word:long,containment:double>>")
 

@@ -93,6 +93,7 @@ def _sign(batches):
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    store.short_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -36,7 +36,7 @@ from .token_files import _blocks
 
 ORDER = 4
 SHARD = 4_000_000
-HELD = 1_500_000
+HELD = 600_000
 BLOCK_BYTES = 2 << 20
 LEAST_WORDS, MOST_REPEATED = 50, 50
 LOWER, UPPER, FLOOR = 5.0, 5.0, 0.02
@@ -109,6 +109,7 @@ def _count(batches):
 
 def count_runs(docs: DataFrame) -> DataFrame:
     """mask (language), gram, n: every run of ORDER characters with its count over all documents."""
+    store.short_batches(docs)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counted = rows.mapInArrow(_count, "mask long, gram long, n long")
     return store.written(counted.groupBy("mask", "gram").agg(F.sum("n").alias("n")), "runs")

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 2_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
@@ -23,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def short_batches(df: DataFrame) -> None:
+    """Texts are long: unless the session says otherwise, Arrow batches hold BATCH_ROWS rows, not ten thousand."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/evenkeel-{uuid.uuid4().hex}/{label}"
 

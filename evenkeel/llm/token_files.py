@@ -85,6 +85,7 @@ def _encode(vocabulary: str, end_id: int):
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
     """Encode every text and write the token files to `path`, parts in ascending doc_id order."""
+    store.short_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     writer = ranged.mapInArrow(_encode(vocabulary, end_id), FILE_SCHEMA).write.mode("overwrite")

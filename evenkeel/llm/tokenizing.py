@@ -12,7 +12,7 @@ import numpy as np
 
 from . import caches
 
-CACHE_PIECES, CACHE_STEMS = 400_000, 700_000
+CACHE_PIECES, CACHE_STEMS = 250_000, 450_000
 JOINED = 2_000
 LONG = 1_000
 TAIL = ".,;:!?#$%&*|()"
