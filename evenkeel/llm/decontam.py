@@ -154,4 +154,4 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def filter_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that share no window with any item, all columns kept."""
     hit = decontaminate(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(store.written(hit, "hit-ids"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    return docs.join(store.ids(hit, "hit-ids"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")

@@ -286,6 +286,6 @@ def clusters(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each component of docs, with all columns: a row with the smallest doc_id; rows without doc_id stay."""
-    dropped = store.written(clusters(docs).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+    dropped = store.ids(clusters(docs).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
     kept = docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
     return kept

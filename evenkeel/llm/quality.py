@@ -252,5 +252,6 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns. Rows that share a doc_id stay if one of them does."""
-    good = judged(docs).where("kept").select(F.col("row_doc").alias("good_id")).distinct()
-    return docs.join(store.written(good, "good-ids"), F.col("doc_id").eqNullSafe(F.col("good_id")), "left_semi")
+    verdicts = judged(docs).groupBy(F.col("row_doc").alias("bad_id")).agg(F.bool_or("kept").alias("kept"))
+    bad = store.ids(verdicts.where("not kept").select("bad_id"), "bad-ids")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")

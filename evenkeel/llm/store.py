@@ -10,8 +10,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_ROWS = 2_000
+BROADCAST_IDS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,12 @@ def written(df: DataFrame, label: str, path: str | None = None, **options: str)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ids(df: DataFrame, label: str) -> DataFrame:
+    """A written table of one integer column, marked for broadcast while it has at most BROADCAST_IDS rows (8 MB)."""
+    df = written(df, label)
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a `written` table that nothing will read again."""
     spark = df.sparkSession
