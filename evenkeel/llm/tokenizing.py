@@ -9,11 +9,14 @@ ids in a table of bounded size. Property tests hold this against plain `encode`.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import caches
 
 CACHE_PIECES, CACHE_STEMS = 400_000, 700_000
 JOINED = 2_000
+BLOCK_CHARS = 4 << 20
 LONG = 1_000
 TAIL = ".,;:!?#$%&*|()"
 _encoders: dict[str, "Encoder"] = {}
@@ -61,32 +64,14 @@ class Encoder:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Put the ids of `pieces` into the table; a full table is emptied first."""
-        if len(self.held) > CACHE_PIECES:
-            self.held = {}
-        if len(self.stems) > CACHE_STEMS:
-            self.stems = {}
-        words, joined, alone, built = set(), [], [], []
+        """Put the ids of pieces that aren't letters with a tail into the table `held`."""
+        joined = []
         for piece in pieces:
-            stem = piece.rstrip(TAIL)
-            if self.word_ends is not None and len(piece) <= LONG and stem.isalpha():
-                # letters, then punctuation: the pre-tokenizer cuts between them
-                tail = piece[len(stem) :]
-                if tail and tail not in self.stems:
-                    self.stems[tail] = self._plain(tail)
-                if stem not in self.stems:
-                    words.add(stem)
-                built.append((piece, stem, tail))
-            elif self.mark is None or len(piece) > LONG or any(s in piece for s in self.special):
-                alone.append(piece)
+            if self.mark is None or len(piece) > LONG or any(s in piece for s in self.special):
+                self.held[piece] = self._plain(piece)
             else:
                 joined.append(piece)
-        self._many(list(words), " ", self.stems)
         self._many(joined, self.mark, self.held)
-        for piece in alone:
-            self.held[piece] = self._plain(piece)
-        for piece, stem, tail in built:
-            self.held[piece] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
 
     def _many(self, pieces: list[str], between: str, into: dict[str, bytes]) -> None:
         """Encode many pieces in one call; a piece ends at a special token, or with an end-of-word token."""
@@ -107,17 +92,47 @@ class Encoder:
                 into[piece] = raw[low:high]
                 low = high + skip
 
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces; a full table is emptied before what is missing is learnt."""
+        if len(self.held) > CACHE_PIECES:
+            self.held = {}
+        if len(self.stems) > CACHE_STEMS:
+            self.stems = {}
+        held, known = self.held, self.stems
+        stems = [p.rstrip(TAIL) for p in pieces]
+        # letters, then punctuation: the pre-tokenizer cuts between them
+        built = [len(p) <= LONG and s.isalpha() for p, s in zip(pieces, stems)] if self.word_ends is not None else [False] * len(pieces)
+        self._many(list({s for s, b in zip(stems, built) if b and s not in known}), " ", known)
+        self._learn([p for p, b in zip(pieces, built) if not b and p not in held])
+        tails = {p[len(s) :] for p, s, b in zip(pieces, stems, built) if b}
+        ends = {t: self._plain(t) if t else b"" for t in tails}
+        return [known[s] + ends[p[len(s) :]] if b else held[p] for p, s, b in zip(pieces, stems, built)]
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are handled together: each different piece of the block is looked up once."""
+        column = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = column.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        # the places in the table, piece after piece
+        flat = table[np.arange(int(ends[-1])) + np.repeat(starts[at] - ends + lengths, lengths)]
+        cuts = np.concatenate([[0], ends])[column.offsets.to_numpy()].tolist()
+        return [flat[low:high].tobytes() for low, high in zip(cuts[:-1], cuts[1:])]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is the empty text."""
-        out = []
+        out, block, size = [], [], 0
         for text in texts:
             if text and self.folds and "<|" not in text and _latin(text):
                 text = text.lower()  # as the vocabulary's normalizer does; it has one letter for one here
-            pieces = text.replace("\n", " ").split(" ") if text else []
-            missing = set(pieces).difference(self.held)
-            if missing:
-                self._learn(list(missing))
-                if not all(p in self.held for p in pieces):  # the table was emptied meanwhile
-                    self._learn([p for p in set(pieces) if p not in self.held])
-            out.append(b"".join(map(self.held.__getitem__, pieces)))
-        return out
+            text = text.replace("\n", " ") if text else ""
+            if block and size + len(text) > BLOCK_CHARS:
+                out += self._block(block)
+                block, size = [], 0
+            block.append(text)
+            size += len(text)
+        return out + self._block(block) if block else out
