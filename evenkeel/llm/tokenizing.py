@@ -100,8 +100,8 @@ class Encoder:
             self.stems = {}
         held, known = self.held, self.stems
         stems = [p.rstrip(TAIL) for p in pieces]
-        # letters, then punctuation: the pre-tokenizer cuts between them
-        built = [len(p) <= LONG and s.isalpha() for p, s in zip(pieces, stems)] if self.word_ends is not None else [False] * len(pieces)
+        # letters, then punctuation: the pre-tokenizer cuts between them, but not after the mark that a small İ ends with
+        built = [len(p) <= LONG and s.isalpha() and "İ" not in s for p, s in zip(pieces, stems)] if self.word_ends is not None else [False] * len(pieces)
         self._many(list({s for s, b in zip(stems, built) if b and s not in known}), " ", known)
         self._learn([p for p, b in zip(pieces, built) if not b and p not in held])
         tails = {p[len(s) :] for p, s, b in zip(pieces, stems, built) if b}
