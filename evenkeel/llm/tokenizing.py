@@ -19,6 +19,7 @@ JOINED = 2_000
 BLOCK_CHARS = 4 << 20
 LONG = 1_000
 TAIL = ".,;:!?#$%&*|()"
+TAIL_BYTES = 4
 _encoders: dict[str, "Encoder"] = {}
 caches.register("tokens", _encoders.clear)
 
@@ -38,6 +39,13 @@ def _latin(text: str) -> bool:
         return False
 
 
+def _gathered(table: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs number `at` of a table of runs with these sizes, one after the other, and where each ends."""
+    starts, lengths = (np.cumsum(sizes) - sizes)[at], sizes[at]
+    ends = np.cumsum(lengths)
+    return table[np.arange(lengths.sum()) + np.repeat(starts - ends + lengths, lengths)], ends
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
@@ -53,9 +61,9 @@ class Encoder:
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.word_ends = None
         if suffix:
-            size = max(self.tokenizer.get_vocab().values()) + 1
-            self.word_ends = np.zeros(size, bool)
-            self.word_ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+            vocabulary = self.tokenizer.get_vocab()
+            self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.word_ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.held: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
@@ -92,34 +100,46 @@ class Encoder:
                 into[piece] = raw[low:high]
                 low = high + skip
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of different pieces; a full table is emptied before what is missing is learnt."""
+    def _known(self, pieces: list[str], held: dict[str, bytes], learn) -> list[bytes]:
+        """The ids of different pieces from one of the tables."""
+        learn([p for p in pieces if p not in held])
+        return list(map(held.__getitem__, pieces))
+
+    def _ids(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different pieces, one after the other, and their numbers; a full table is emptied before what is missing is learnt."""
         if len(self.held) > CACHE_PIECES:
             self.held = {}
         if len(self.stems) > CACHE_STEMS:
             self.stems = {}
-        held, known = self.held, self.stems
-        stems = [p.rstrip(TAIL) for p in pieces]
+        stems = pc.utf8_rtrim(pieces, characters=TAIL)
+        tail = pc.subtract(pc.binary_length(pieces), pc.binary_length(stems)).to_numpy()
         # letters, then punctuation: the pre-tokenizer cuts between them, but not after the mark that a small İ ends with
-        built = [len(p) <= LONG and s.isalpha() and "İ" not in s for p, s in zip(pieces, stems)] if self.word_ends is not None else [False] * len(pieces)
-        self._many(list({s for s, b in zip(stems, built) if b and s not in known}), " ", known)
-        self._learn([p for p, b in zip(pieces, built) if not b and p not in held])
-        tails = {p[len(s) :] for p, s, b in zip(pieces, stems, built) if b}
-        ends = {t: self._plain(t) if t else b"" for t in tails}
-        return [known[s] + ends[p[len(s) :]] if b else held[p] for p, s, b in zip(pieces, stems, built)]
+        built = pc.and_not(pc.utf8_is_alpha(stems), pc.match_substring(stems, "İ")).to_numpy(zero_copy_only=False)
+        built &= (pc.utf8_length(pieces).to_numpy() <= LONG) & (tail <= TAIL_BYTES) & (self.word_ends is not None)
+        coded = stems.filter(pa.array(built)).dictionary_encode()
+        ids = self._known(coded.dictionary.to_pylist(), self.stems, lambda new: self._many(new, " ", self.stems))
+        first = np.empty(len(pieces), np.int64)
+        first[built] = coded.indices.to_numpy()
+        first[~built] = np.arange(len(ids), len(ids) + np.count_nonzero(~built))
+        ids += self._known(pieces.filter(pa.array(~built)).to_pylist(), self.held, self._learn)
+        # a tail is ASCII; its bytes make one number
+        raw, stops = np.frombuffer(pieces.buffers()[2] or b"", np.uint8), np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset + 1 :]
+        code = np.zeros(len(pieces), np.int64)
+        for k in range(TAIL_BYTES):
+            at = np.flatnonzero(built & (tail > k))
+            code[at] += raw[stops[at] - 1 - k].astype(np.int64) << 8 * k
+        codes, last = np.unique(code, return_inverse=True)
+        last += len(ids)
+        ids += [self._plain(c.to_bytes(TAIL_BYTES, "big").lstrip(b"\0").decode()) for c in codes.tolist()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, _ = _gathered(np.frombuffer(b"".join(ids), "<u4"), sizes, np.column_stack([first, last]).ravel())
+        return table, sizes[first] + sizes[last]
 
     def _block(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that are handled together: each different piece of the block is looked up once."""
         column = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = column.flatten().dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy()
-        lengths = sizes[at]
-        ends = np.cumsum(lengths)
-        # the places in the table, piece after piece
-        flat = table[np.arange(int(ends[-1])) + np.repeat(starts[at] - ends + lengths, lengths)]
+        flat, ends = _gathered(*self._ids(coded.dictionary), coded.indices.to_numpy())
         cuts = np.concatenate([[0], ends])[column.offsets.to_numpy()].tolist()
         return [flat[low:high].tobytes() for low, high in zip(cuts[:-1], cuts[1:])]
 
