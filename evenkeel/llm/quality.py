@@ -37,7 +37,7 @@ from .token_files import _blocks
 ORDER = 4
 SHARD = 4_000_000
 HELD = 600_000
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 LEAST_WORDS, MOST_REPEATED = 50, 50
 LOWER, UPPER, FLOOR = 5.0, 5.0, 0.02
 SYMBOLS = "#*$%&|<>"
