@@ -283,8 +283,18 @@ def random_sampler(spark, d):
     SELECT CAST(k AS INTEGER) AS part, o_custkey AS point FROM s, range(1, 8) AS r(k) WHERE i = CAST(floor(n * k / 8.0 + 0.5) AS BIGINT)
 """)
 def split_points(spark, d):
-    sample = [r[0] for r in t(spark, d, "orders").where("o_orderkey % 16 = 0").select("o_custkey").collect()]
-    points = samplers.split_points(sample, 8)
+    """Of one class of orders, as the SQL says; ext_split_points_all takes them all."""
+    points = samplers.split_points_of(t(spark, d, "orders").where("o_orderkey % 16 = 0"), "o_custkey", 8)
+    return spark.createDataFrame([(i + 1, p) for i, p in enumerate(points)], "part int, point long")
+
+
+@query("""
+    WITH s AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+    SELECT CAST(k AS INTEGER) AS part, o_custkey AS point FROM s, range(1, 8) AS r(k) WHERE i = CAST(floor(n * k / 8.0 + 0.5) AS BIGINT)
+""")
+def ext_split_points_all(spark, d):
+    """Over every order."""
+    points = samplers.split_points_of(t(spark, d, "orders"), "o_custkey", 8)
     return spark.createDataFrame([(i + 1, p) for i, p in enumerate(points)], "part int, point long")
 
 

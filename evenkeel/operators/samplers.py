@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import materialized
+
 
 def split_sample(df: DataFrame, split: Column, order: list[str], samples: int, splits: int) -> DataFrame:
     """The first samples / taken rows of evenly spaced splits, of at most `splits` of them."""
@@ -52,3 +54,32 @@ def split_points(samples: list, n: int) -> list:
         points.append(ordered[at])
         last = at
     return points
+
+
+def split_points_of(df: DataFrame, column: str, n: int) -> list:
+    """`split_points` over all rows of `column` that aren't null: no task sees all values, the driver at most n * n."""
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).count()
+    slices = materialized(values.repartitionByRange("value").withColumn("slice", F.spark_partition_id()))
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = slices.groupBy("slice").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("values"))
+    base = sums.select("slice", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("rows", "values")])
+    w = Window.partitionBy("slice").orderBy("value")
+    ranked = slices.join(F.broadcast(base), "slice").select("value", (F.col("rows_before") + F.sum("count").over(w)).alias("end"), "count", (F.col("values_before") + F.row_number().over(w)).alias("nth"))
+    total = sums.agg(F.sum("rows")).first()[0] or 0
+    if total < n:
+        raise ValueError("fewer samples than partitions")
+    targets = [min(math.floor(total / n * i + 0.5), total) for i in range(1, n)]
+    holds = lambda at: (F.col("end") - F.col("count") <= at) & (F.col("end") > at)
+    places = {at: None for at in targets}
+    for r in ranked.where(F.exists(F.array(*[F.lit(at).cast("long") for at in targets]), holds)).collect():
+        places |= {at: r["nth"] for at in places if r["end"] - r["count"] <= at < r["end"]}
+    # a point that would repeat the one before is the next value; at most n - 1 steps from a target's own value
+    wanted = sorted({k + i for k in places.values() if k is not None for i in range(n)})
+    by_place = {r["nth"]: r["value"] for r in ranked.where(F.col("nth").isin(wanted)).select("nth", "value").collect()}
+    points, last = [], 0
+    for at in targets:
+        last = max(places[at] or last + 1, last + 1)
+        if last not in by_place:
+            break
+        points.append(by_place[last])
+    return points

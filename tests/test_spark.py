@@ -5,7 +5,7 @@ from evenkeel import catalog
 from evenkeel import functions as fx
 from evenkeel import operators as op
 from evenkeel import sources
-from evenkeel.operators import partitioners
+from evenkeel.operators import partitioners, samplers
 from evenkeel.plans import reactive
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +74,15 @@ def test_every_sized_suffix(spark):
     assert [r[0] for r in df.select(fx.parse_size(F.col("s"))).collect()] == [64, 8192, 2 << 30, 1 << 50, None, None]
 
 
+def test_split_points_over_all_rows(spark):
+    for values, n in (([1, 1, 1, 1, 2, 3, 4, 5], 4), ([7] * 90 + list(range(10)), 8), ([5] * 8, 4), (list(range(1000, 0, -1)), 8), ([1, 2, 2, 2, 2, 2, 2, 9], 8)):
+        assert samplers.split_points_of(spark.createDataFrame([(v,) for v in values], "v long"), "v", n) == samplers.split_points(values, n)
+    # keys that depend on the class of the order: one class alone has other quantiles
+    orders = catalog.t(spark, SF, "orders")
+    want = samplers.split_points([r[0] for r in orders.select("o_custkey").collect()], 8)
+    assert [r["point"] for r in catalog.QUERIES["ext_split_points_all"](spark, SF).orderBy("part").collect()] == want
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).limit(5).collect() is not None
