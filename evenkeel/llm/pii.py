@@ -77,12 +77,24 @@ def _valid(kind: str, what: Column) -> Column:
     return F.lit(True)
 
 
-PATTERN = dict(zip(BASE, (EMAIL, IP, CARD, PHONE)))
+PATTERN = dict(zip((*BASE, *LOOSE), (EMAIL, IP, CARD, PHONE, WRITTEN, LOCAL_PHONE, NATIONAL, PERSON)))
+
+
+def _needs(text: Column) -> dict[str, Column]:
+    """Cheap conditions without which a text has no match of a kind."""
+    return {
+        "email": F.contains(text, F.lit("@")),
+        "ip": text.rlike(r"[0-9]\.[0-9]++\.[0-9]"),
+        "phone": F.contains(text, F.lit("+")),
+        "written_email": F.contains(text, F.lit("[at]")) | F.contains(text, F.lit("(at)")),
+        "local_phone": text.rlike(r"[0-9][.-][0-9]{4}"),
+        "national_id": text.rlike(r"-[0-9]{2}-[0-9]{4}"),
+    }
 
 
 def base_spans(text: Column) -> Column:
     """array<struct<start, rank, kind, end>> of the four base kinds."""
-    needs = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": F.contains(text, F.lit("+"))}
+    needs = _needs(text) | {"card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")}
 
     def kept(kind: str) -> Column:
         return F.filter(spans.matches(text, PATTERN[kind], needs[kind]), lambda x: _valid(kind, x["what"]))
@@ -94,34 +106,44 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start, end, kind, format, gazetteer, context, length>>: every candidate with its votes."""
-    forms = (WRITTEN, EMAIL, IP, PHONE, NATIONAL, LOCAL_PHONE, CARD, PERSON)
-    found = spans.matches(text, "|".join(f"(?:{p})" for p in forms))
-    whole = lambda p: f"^(?:{p})$"
+def candidates(text: Column, kinds: tuple[str, ...] = (*BASE, *LOOSE)) -> Column:
+    """array<struct<start, end, kind, format, gazetteer, context, length>>: every candidate of the kinds with its votes.
+
+    Each kind is searched in a pass of its own, so that none hides another. Loose candidates inside a base span are none.
+    """
+    domain = rf"(?i)(?:\.|dot[\])])\x20?(?:{'|'.join(DOMAINS)})$"
+
+    def strict(kind: str, what: Column) -> Column:
+        if kind == "written_email":
+            return what.rlike(domain)
+        if kind == "local_phone":
+            return what.rlike(r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9]")
+        if kind == "national_id":
+            return ~what.rlike(r"^(?:000|666|9)|-00-|0000$")
+        return _valid(kind, what)
 
-    def judged(x: Column) -> Column:
+    def judged(kind: str, x: Column) -> Column:
         what, before = x["what"], F.lower(x["before"])
-        kind = F.when(what.rlike(r"(?:\[at\]|\(at\))"), "written_email").when(F.contains(what, F.lit("@")), "email").when(what.startswith("+"), "phone")
-        kind = kind.when(what.rlike("^[A-Z]"), "person").when(what.rlike(whole(NATIONAL)), "national_id").when(what.rlike(whole(LOCAL_PHONE)), "local_phone").when(what.rlike(r"^[0-9]+\.[0-9]+\."), "ip").otherwise("card")
-        domain = rf"(?i)(?:\.|dot[\])])\x20?(?:{'|'.join(DOMAINS)})$"
-        strict = (
-            F.when(kind == "written_email", what.rlike(domain))
-            .when(kind == "local_phone", what.rlike(r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9]"))
-            .when(kind == "national_id", ~what.rlike(r"^(?:000|666|9)|-00-|0000$"))
-            .when(kind == "person", F.lit(True))
-            .when(kind == "ip", _valid("ip", what))
-            .when(kind == "card", _valid("card", what))
-            .when(kind == "phone", _valid("phone", what))
-            .otherwise(F.lit(True))
-        )
-        named = F.when(kind.isin("email", "written_email"), what.rlike(domain)).when(kind == "person", what.rlike(rf"\x20(?:{'|'.join(FAMILY)})$")).otherwise(F.lit(False))
-        unnamed = kind == "person"
+        form = strict(kind, what)
+        named = what.rlike(domain) if kind in ("email", "written_email") else what.rlike(rf"\x20(?:{'|'.join(FAMILY)})$") if kind == "person" else F.lit(False)
         context = _vote(before.rlike(rf"\b(?:{CUES})\b[^a-z]*(?:[a-z]+[^a-z]+){{0,2}}$"), before.rlike(rf"\b(?:{COUNTER})\b[^a-z]*$"))
         length = F.least(F.floor(F.char_length(what) / 8).cast("int"), F.lit(LENGTHS - 1))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), _vote(strict, ~strict).alias("format"), _vote(named, unnamed).alias("gazetteer"), context.alias("context"), length.alias("length"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), _vote(form, ~form).alias("format"), _vote(named, F.lit(kind == "person")).alias("gazetteer"), context.alias("context"), length.alias("length"))
+
+    needs = _needs(text)
+
+    def found(kind: str) -> Column:
+        return F.transform(spans.matches(text, PATTERN[kind], needs.get(kind)), lambda x: judged(kind, x))
+
+    loose = [found(k) for k in kinds if k in LOOSE]
+    if not loose:
+        return F.concat(*[found(k) for k in kinds])
+
+    def outside(some: Column) -> Column:
+        inside = lambda c, own: F.exists(own, lambda s: (s["start"] <= c["start"]) & (c["end"] <= s["end"]))
+        return F.when(F.size(some) == 0, some).otherwise(spans.bound(base_spans(text), lambda own: F.filter(some, lambda c: ~inside(c, own))))
 
-    return F.transform(found, judged)
+    return F.concat(*[found(k) for k in kinds if k in BASE], spans.bound(F.concat(*loose), outside))
 
 
 FIELDS = ("kind", "format", "gazetteer", "context", "length")
@@ -197,7 +219,7 @@ def all_spans(text: Column, weights: dict[str, float]) -> Column:
     """Base spans and the looser candidates that the classifier accepts: array<struct<start, rank, kind, end>>."""
     threshold = math.log(ACCEPT / (1 - ACCEPT))
     # a looser candidate needs its strict format and a vote of the gazetteer or the context besides
-    accepted = F.filter(candidates(text), lambda c: c["kind"].isin(*LOOSE) & (c["format"] > 0) & (c["gazetteer"] + c["context"] > 0) & (score(weights, c) >= threshold))
+    accepted = F.filter(candidates(text, LOOSE), lambda c: (c["format"] > 0) & (c["gazetteer"] + c["context"] > 0) & (score(weights, c) >= threshold))
     ranks = F.create_map(*[F.lit(x) for i, k in enumerate(LOOSE) for x in (k, len(BASE) + i)])
     loose = F.transform(accepted, lambda c: F.struct(c["start"].alias("start"), ranks[c["kind"]].alias("rank"), c["kind"].alias("kind"), c["end"].alias("end")))
     return F.concat(base_spans(text), loose)

@@ -145,6 +145,13 @@ def test_personal_data(docs):
     assert clean[3]["text"] is None and clean[6]["text"] == LONG
 
 
+def test_no_kind_hides_another(spark):
+    texts = ["room 12 555-123-4567", "since 2024 123-45-6789", "+1 2 3 4567 89 555-123-4567", "in 2024 4111 1111 1111 1111 +1 (743) 555-3824"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r["i"]: [(c["kind"], r["text"][c["start"] : c["end"]]) for c in r["c"] if c["kind"] in pii.LOOSE] for r in rows.withColumn("c", pii.candidates(F.col("text"))).collect()}
+    assert got == {0: [("local_phone", "555-123-4567")], 1: [("national_id", "123-45-6789")], 2: [("local_phone", "555-123-4567")], 3: []}
+
+
 def test_secrets(docs):
     got = [r for r in secrets.digest(docs).where("doc_id = 9").collect() if r["n_assign"]]
     assert len(got) == 1 and (got[0]["n_assign"], got[0]["n_access"], got[0]["n_hex"]) == (1, 1, 2)  # the github token is hex too
