@@ -3,12 +3,12 @@
 Candidates are the base kinds (email, ip, card, phone) and looser forms: written-
 out addresses, phone numbers without a country code, national ids and names that
 begin with a known given name. On each candidate three labelers vote for (1),
-against (-1) or not at all (0): the strict format of its kind, a gazetteer, and
-the words before it. Spark counts each combination of kind, votes and length
+against (-1) or not at all (0): the strict format of its kind, a gazetteer (which
+never votes against), and the words before it. Spark counts each combination of kind, votes and length
 over all documents; there are at most PATTERNS of them, however many documents.
 From these counts expectation-maximisation estimates each labeler's reliability
 and each combination's probability, and a logistic classifier is fitted to the
-probabilities. The classifier decides on the looser candidates; base spans
+probabilities. The classifier alone decides on the looser candidates; base spans
 always stay.
 
 Defined results: null text is empty, without spans. Every row is judged by
@@ -128,7 +128,7 @@ def candidates(text: Column, kinds: tuple[str, ...] = (*BASE, *LOOSE)) -> Column
         named = what.rlike(domain) if kind in ("email", "written_email") else what.rlike(rf"\x20(?:{'|'.join(FAMILY)})$") if kind == "person" else F.lit(False)
         context = _vote(before.rlike(rf"\b(?:{CUES})\b[^a-z]*(?:[a-z]+[^a-z]+){{0,2}}$"), before.rlike(rf"\b(?:{COUNTER})\b[^a-z]*$"))
         length = F.least(F.floor(F.char_length(what) / 8).cast("int"), F.lit(LENGTHS - 1))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), _vote(form, ~form).alias("format"), _vote(named, F.lit(kind == "person")).alias("gazetteer"), context.alias("context"), length.alias("length"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), _vote(form, ~form).alias("format"), F.when(named, 1).otherwise(0).alias("gazetteer"), context.alias("context"), length.alias("length"))
 
     needs = _needs(text)
 
@@ -218,8 +218,7 @@ def train(docs: DataFrame) -> dict[str, float]:
 def all_spans(text: Column, weights: dict[str, float]) -> Column:
     """Base spans and the looser candidates that the classifier accepts: array<struct<start, rank, kind, end>>."""
     threshold = math.log(ACCEPT / (1 - ACCEPT))
-    # a looser candidate needs its strict format and a vote of the gazetteer or the context besides
-    accepted = F.filter(candidates(text, LOOSE), lambda c: (c["format"] > 0) & (c["gazetteer"] + c["context"] > 0) & (score(weights, c) >= threshold))
+    accepted = F.filter(candidates(text, LOOSE), lambda c: score(weights, c) >= threshold)
     ranks = F.create_map(*[F.lit(x) for i, k in enumerate(LOOSE) for x in (k, len(BASE) + i)])
     loose = F.transform(accepted, lambda c: F.struct(c["start"].alias("start"), ranks[c["kind"]].alias("rank"), c["kind"].alias("kind"), c["end"].alias("end")))
     return F.concat(base_spans(text), loose)

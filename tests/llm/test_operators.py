@@ -145,6 +145,16 @@ def test_personal_data(docs):
     assert clean[3]["text"] is None and clean[6]["text"] == LONG
 
 
+def test_the_classifier_decides_on_looser_spans(spark):
+    texts = ["Contact: Maria Kowalski", "we met Peter Nowak there", "room 12 555-234-4567", "since 2024 123-45-6789", "invoice 000-00-0000", "write to jane [at] mail [dot] org"]
+    texts += [f"mail a{i}@b{i}.com or +1 (743) 555-38{i:02d}, from 10.0.0.{i}, 4111 1111 1111 1111; {i + 10} of {i + 20}" for i in range(10)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][x["start"] : x["end"]] for x in r["found"]] for r in pii.detect(rows).collect()}
+    assert [found[i] for i in range(6)] == [["Maria Kowalski"], ["Peter Nowak"], ["555-234-4567"], ["123-45-6789"], [], ["jane [at] mail [dot] org"]]
+    assert all(len(found[i]) == 4 for i in range(6, 16))
+    assert "Contact: <PERSON>" in [r["text"] for r in pii.redact(rows).collect()]
+
+
 def test_no_kind_hides_another(spark):
     texts = ["room 12 555-123-4567", "since 2024 123-45-6789", "+1 2 3 4567 89 555-123-4567", "in 2024 4111 1111 1111 1111 +1 (743) 555-3824"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
