@@ -183,12 +183,14 @@ def _valid(bytes_: Window_, at: int):
     """The record that begins at `at`: fields, content, end; None if no record begins there."""
     try:
         parts = _member(bytes_, at)
-        head, found, end = b"", None, None
+        head, end = bytearray(), None
+        # a header may be as long as its member; only what is new is searched for the header's end
         for data, end in parts:
+            seen = max(0, len(head) - 3)
             head += data
-            found = _headers(head)
-            if found or end is not None or len(head) > 1 << 20 or not (head.startswith(b"WARC/") or b"WARC/".startswith(head[:5])):
+            if head.find(b"\r\n\r\n", seen) >= 0 or end is not None or not b"WARC/".startswith(bytes(head[:5])):
                 break
+        found = _headers(bytes(head))
         if not found:
             return None
         content = [head]

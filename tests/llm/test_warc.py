@@ -58,6 +58,17 @@ def test_false_magic_is_not_a_record(tmp_path):
     assert len(found) == 1 and found[0][1].endswith(b"p" * 200)
 
 
+def test_header_of_any_length():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    url = "data:," + "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=2 << 20))
+    data = warc._record(1, "u", b"p", 1, "d", None, False) + warc._record(2, url, b"q" * 200, 200, "d", None, False) + warc._record(3, "v", b"r", 1, "d", None, False)
+    found = list(warc.records_in(pa.BufferReader(data), len(data), 0, len(data)))
+    assert [f["warc-record-id"] for f, _ in found] == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>"]
+    assert found[1][0]["warc-target-uri"] == url and found[1][1].endswith(b"q" * 200)
+
+
 def test_empty_table(spark):
     _, read = rows(spark, [])
     assert read.count() == 0
