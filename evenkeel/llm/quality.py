@@ -14,8 +14,10 @@ whatever the model's size, and nothing is broadcast.
 
 A document is rejected if it breaks the base rules, or if its log perplexity
 lies outside its language's band: median - LOWER and median + UPPER times the
-spread (the scaled median absolute deviation, at least FLOOR) of all documents of
-the language that pass the base rules.
+spread (the scaled median absolute deviation, at least FLOOR) of all distinct
+texts of the language that pass the base rules. Runs are counted over distinct
+texts as well, so that a group of copies weighs as one document; every row is
+judged.
 
 Defined results: null text has no words and fails the base rules. A null lang is
 a language of its own. Every row is judged by itself, so null or repeated doc_ids
@@ -41,7 +43,7 @@ BLOCK_BYTES = 1 << 20
 LEAST_WORDS, MOST_REPEATED = 50, 50
 LOWER, UPPER, FLOOR = 5.0, 5.0, 0.02
 SYMBOLS = "#*$%&|<>"
-STATISTICS = "row_doc long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"
+STATISTICS = "row_doc long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double, text_hash binary"
 
 
 def _mask(lang: str | None) -> np.uint64:
@@ -107,11 +109,19 @@ def _count(batches):
     yield from emit()
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """lang and text, each pair once. Only texts whose hash occurs again are grouped, so the others are not moved."""
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    hashed = rows.withColumn("hash", F.xxhash64("lang", "text"))
+    again = store.ids(hashed.groupBy("hash").count().where("count > 1").select("hash"), "repeated")
+    once = hashed.join(again, "hash", "left_anti").select("lang", "text")
+    return once.unionByName(hashed.join(again, "hash", "left_semi").select("lang", "text").distinct())
+
+
 def count_runs(docs: DataFrame) -> DataFrame:
-    """mask (language), gram, n: every run of ORDER characters with its count over all documents."""
+    """mask (language), gram, n: every run of ORDER characters with its count over all distinct texts."""
     store.short_batches(docs)
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = rows.mapInArrow(_count, "mask long, gram long, n long")
+    counted = distinct_texts(docs).mapInArrow(_count, "mask long, gram long, n long")
     return store.written(counted.groupBy("mask", "gram").agg(F.sum("n").alias("n")), "runs")
 
 
@@ -201,6 +211,10 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
     return n, len(text) - blanks, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated
 
 
+def _text_hash(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+
+
 def _score(paths: list[str]):
     def run(batches):
         caches.claim("words")
@@ -222,7 +236,7 @@ def _score(paths: list[str]):
                 stats = np.array([text_statistics(t) for t in texts], np.int64).reshape(-1, 5)
                 failed = (stats[:, 0] < LEAST_WORDS) | (100 * stats[:, 4] > MOST_REPEATED * stats[:, 0])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row_doc"), batch.column("lang"), *(pa.array(stats[:, i]) for i in range(5)), pa.array(failed), pa.array(mean, from_pandas=True)],
+                    [batch.column("row_doc"), batch.column("lang"), *(pa.array(stats[:, i]) for i in range(5)), pa.array(failed), pa.array(mean, from_pandas=True), pa.array([_text_hash(t) for t in texts], pa.binary())],
                     names=[x.split()[0] for x in STATISTICS.split(", ")],
                 )
 
@@ -235,7 +249,8 @@ def judged(docs: DataFrame) -> DataFrame:
     paths = sorted(arrays.inputFiles())
     rows = docs.select(F.col("doc_id").cast("long").alias("row_doc"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     scored = store.written(rows.mapInArrow(_score(paths), STATISTICS), "scored")
-    usual = scored.where(~F.col("base_failed")).select(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("key"), "log_perplexity")
+    passed = scored.where(~F.col("base_failed")).select(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("key"), "text_hash", "log_perplexity")
+    usual = store.written(passed.groupBy("key", "text_hash").agg(F.min("log_perplexity").alias("log_perplexity")).drop("text_hash"), "usual")
     middle = store.written(usual.groupBy("key").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle")), "medians")
     off = usual.join(middle, "key").withColumn("off", F.abs(F.col("log_perplexity") - F.col("middle")))
     spread = off.groupBy("key").agg(F.first("middle").alias("middle"), F.percentile_approx("off", 0.5, 10_000).alias("mad"))
