@@ -10,7 +10,11 @@ powers of two. A window that shares a band with a template is verified: every
 window in its reach is compared shingle by shingle, and the largest share of the
 template's distinct shingles in any of them is its containment.
 
-The templates are a fixed list, so what tasks carry has a fixed size.
+The templates are a fixed list (notices, and the full texts in license_texts), so
+what tasks carry has a fixed size. Before the bands, a template is left out of a
+text that doesn't have NEED / OF of its shingles anywhere, which loses nothing. Of
+matches of different licenses that share half of the smaller one's places, the
+one with the highest containment stays, and of equal ones the longest.
 
 Defined results: null or wordless text has no licenses. A text shorter than the
 window is one window. Every row is judged by itself, so null or repeated doc_ids
@@ -20,6 +24,7 @@ do no harm. Other columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +56,26 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "EPL-1.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "MIT": (
         "Released under the MIT License.",
@@ -81,12 +106,12 @@ class Template:
         self.window, self.stride = n + n // 4, max(1, n // 8)
         self.minima = _rows(self.runs).min(axis=1)
 
-    def containment(self, runs: np.ndarray, starts: np.ndarray) -> tuple[int, int]:
-        """The most distinct shingles that a window near one of the starts shares, and the first such window's start."""
+    def containment(self, runs: np.ndarray, starts: np.ndarray) -> tuple[int, int, np.ndarray]:
+        """The most distinct shingles that a window near one of the starts shares, the first such window's start, and their places."""
         at = np.searchsorted(self.runs, runs)
         at[at == len(self.runs)] = 0
         hit = np.flatnonzero(self.runs[at] == runs)
-        best, where = 0, 0
+        best, where, places = 0, 0, hit[:0]
         last = max(0, len(runs) - self.window)
         # a best window can be moved to begin at a shingle of the template
         for start in hit:
@@ -95,14 +120,49 @@ class Template:
                 continue
             low = min(int(start), last)
             inside = hit[np.searchsorted(hit, low) : np.searchsorted(hit, low + self.window)]
+            if len(inside) <= best:
+                continue
             shared = len(np.unique(at[inside]))
             if shared > best:
-                best, where = shared, low
-        return best, where
+                best, where, places = shared, low, inside
+        return best, where, places
+
+
+class Known(list):
+    """Templates with the shingles of all of them, by shingle size."""
 
+    def __init__(self, known: list[Template]):
+        super().__init__(known)
+        sizes = {min(shingles.SIZE, t.words) for t in known}
+        self.all_runs = {s: np.unique(np.concatenate([t.runs for t in known if min(shingles.SIZE, t.words) == s])) for s in sizes}
+        self.places = [np.searchsorted(self.all_runs[min(shingles.SIZE, t.words)], t.runs) for t in known]
 
-def templates() -> list[Template]:
-    return [Template(name, text) for name, texts in TEMPLATES.items() for text in texts]
+    def present(self, size: int, runs: np.ndarray) -> np.ndarray | None:
+        """Which of the shingles of that size the text has anywhere; None if it has none."""
+        union = self.all_runs[size]
+        at = np.searchsorted(union, runs)
+        at[at == len(union)] = 0
+        hit = union[at] == runs
+        if not hit.any():
+            return None
+        flags = np.zeros(len(union), bool)
+        flags[at[hit]] = True
+        return flags
+
+
+def templates() -> Known:
+    full = [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")]
+    return Known([Template(name, text) for name, text in [*((n, x) for n, texts in TEMPLATES.items() for x in texts), *full]])
+
+
+def strongest(found: list[tuple[str, int, float, np.ndarray]]) -> list[tuple[str, int, float]]:
+    """The matches that no stronger match of another license takes the places of, in the given order."""
+    kept: list[int] = []
+    for i in sorted(range(len(found)), key=lambda i: (-found[i][2], -len(found[i][3]), i)):
+        name, _, _, places = found[i]
+        if all(found[k][0] == name or 2 * len(np.intersect1d(found[k][3], places)) < min(len(found[k][3]), len(places)) for k in kept):
+            kept.append(i)
+    return [found[i][:3] for i in sorted(kept)]
 
 
 def window_minima(levels: list[np.ndarray], n: int, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,34 +175,42 @@ def window_minima(levels: list[np.ndarray], n: int, window: int, stride: int) ->
     return starts, np.minimum(levels[k][:, starts], levels[k][:, starts + size - (1 << k)])
 
 
-def matches(text: str | None, known: list[Template]) -> tuple[int, list[tuple[str, int, float]]]:
+def matches(text: str | None, known: Known) -> tuple[int, list[tuple[str, int, float]]]:
     """The number of words, and (license, first word, containment) of the best window for each template that is found."""
     words = words_of(text)
     if not words:
         return 0, []
     hashes = shingles.word_hashes(words)
-    by_size: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-    found = []
-    for template in known:
+    by_size: dict[int, tuple[np.ndarray, np.ndarray | None]] = {}
+    near: list[tuple[Template, int]] = []
+    for template, places in zip(known, known.places):
         size = min(shingles.SIZE, template.words)
         if len(words) < size:
             continue
         if size not in by_size:
             runs = shingles.runs(hashes, size)
-            longest = max(min(t.window, len(runs)) for t in known)
-            levels = [_rows(runs)]
+            by_size[size] = runs, known.present(size, runs)
+        present = by_size[size][1]
+        if present is not None and OF * int(present[places].sum()) >= NEED * len(places):
+            near.append((template, size))
+    levels: dict[int, list[np.ndarray]] = {}
+    found = []
+    for template, size in near:
+        runs = by_size[size][0]
+        if size not in levels:
+            longest = max(min(t.window, len(runs)) for t, s in near if s == size)
+            levels[size] = [_rows(runs)]
             for k in range(longest.bit_length() - 1):
-                levels.append(np.minimum(levels[-1][:, : -(1 << k)], levels[-1][:, 1 << k :]))
-            by_size[size] = runs, levels
-        runs, levels = by_size[size]
-        starts, least = window_minima(levels, len(runs), template.window, template.stride)
+                last = levels[size][-1]
+                levels[size].append(np.minimum(last[:, : -(1 << k)], last[:, 1 << k :]))
+        starts, least = window_minima(levels[size], len(runs), template.window, template.stride)
         shared = (least == template.minima[:, None]).any(axis=0)
         if not shared.any():
             continue
-        best, where = template.containment(runs, starts[shared])
+        best, where, places = template.containment(runs, starts[shared])
         if OF * best >= NEED * len(template.runs):
-            found.append((template.license_id, where, best / len(template.runs)))
-    return len(words), found
+            found.append((template.license_id, where, best / len(template.runs), places))
+    return len(words), strongest(found)
 
 
 def _scan(batches):

@@ -183,6 +183,18 @@ def test_licenses(docs):
     assert got[3]["n_words"] == 0 and got[6]["n_licenses"] == 0
 
 
+def test_other_licenses_and_versions():
+    known = licenses.templates()
+    names = lambda text: {m[0] for m in licenses.matches(text, known)[1]}
+    assert names("This work is licensed under the GNU General Public License, version 2.") == {"GPL-2.0"}
+    assert names("This work is licensed under the GNU General Public License, version 3.") == {"GPL-3.0"}
+    for template in licenses.TEMPLATES:
+        for text in licenses.TEMPLATES[template]:
+            assert names(f"some words before it {text} and after") == {template}
+    for path in (licenses.resources.files("evenkeel.llm") / "license_texts").iterdir():
+        assert names(path.read_text()) == {path.name.removesuffix(".txt")}
+
+
 def test_quality(docs):
     got = {r["doc_id"]: r for r in quality.digest(docs).collect()}
     assert got[3]["n_words"] == 0 and got[3]["base_failed"] and not got[3]["kept"]
