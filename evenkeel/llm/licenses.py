@@ -226,9 +226,8 @@ def _scan(batches):
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words and matches (license, first_word, containment) of each row."""
-    store.short_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scan, "doc_id long, n_words long, matches array<struct<license:string,first_word:long,containment:double>>")
+    return store.written(rows.mapInArrow(_scan, "doc_id long, n_words long, matches array<struct<license:string,first_word:long,containment:double>>"), "licenses")
 
 
 def digest(docs: DataFrame) -> DataFrame:

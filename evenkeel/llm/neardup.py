@@ -93,7 +93,6 @@ def _sign(batches):
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    store.short_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -286,6 +285,5 @@ def clusters(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each component of docs, with all columns: a row with the smallest doc_id; rows without doc_id stay."""
-    dropped = store.ids(clusters(docs).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    kept = docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
-    return kept
+    dropped = store.written(clusters(docs).where("not kept").select("doc_id").distinct(), "dropped")
+    return store.without(docs, dropped, [docs["doc_id"].cast("long")])

@@ -52,7 +52,6 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_id
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names=names)
 
-    store.short_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 

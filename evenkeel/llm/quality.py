@@ -113,14 +113,13 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     """lang and text, each pair once. Only texts whose hash occurs again are grouped, so the others are not moved."""
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     hashed = rows.withColumn("hash", F.xxhash64("lang", "text"))
-    again = store.ids(hashed.groupBy("hash").count().where("count > 1").select("hash"), "repeated")
+    again = store.small(store.written(hashed.groupBy("hash").count().where("count > 1").select("hash"), "repeated"))
     once = hashed.join(again, "hash", "left_anti").select("lang", "text")
     return once.unionByName(hashed.join(again, "hash", "left_semi").select("lang", "text").distinct())
 
 
 def count_runs(docs: DataFrame) -> DataFrame:
     """mask (language), gram, n: every run of ORDER characters with its count over all distinct texts."""
-    store.short_batches(docs)
     counted = distinct_texts(docs).mapInArrow(_count, "mask long, gram long, n long")
     return store.written(counted.groupBy("mask", "gram").agg(F.sum("n").alias("n")), "runs")
 

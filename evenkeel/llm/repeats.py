@@ -47,7 +47,6 @@ NO_ID = -(1 << 63)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    store.short_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

@@ -2,36 +2,52 @@
 
 Lineage is cut by writing Parquet there and reading it back, so a lost executor
 costs only the tasks it was running, never a stage that is already written.
+Tables that nothing will read again are deleted with `discard`; what a returned
+DataFrame still reads stays.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 2_000
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all tasks run on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="evenkeel-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def short_batches(df: DataFrame) -> None:
-    """Texts are long: unless the session says otherwise, Arrow batches hold BATCH_ROWS rows, not ten thousand."""
+@contextmanager
+def short_batches(spark: SparkSession):
+    """Texts are long: unless the session says otherwise, Arrow batches hold BATCH_ROWS rows here, not ten thousand."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key, None) is None:
-        df.sparkSession.conf.set(key, BATCH_ROWS)
+    own = spark.conf.get(key, None) is None
+    if own:
+        spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(key)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -45,21 +61,41 @@ def written(df: DataFrame, label: str, path: str | None = None, **options: str)
     writer = df.write.mode("overwrite")
     for key, value in options.items():
         writer = writer.option(key, value)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with short_batches(spark):
+        writer.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def ids(df: DataFrame, label: str) -> DataFrame:
-    """A written table of one integer column, marked for broadcast while it has at most BROADCAST_IDS rows (8 MB)."""
-    df = written(df, label)
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+def small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast while it has at most `rows` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a `written` table that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if "/evenkeel-" in path.toString():
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame | str) -> None:
+    """Delete the files behind `written` tables, or under paths, that nothing will read again."""
+    for table in tables:
+        path = table if isinstance(table, str) else getattr(table, "_stored_at", None)
+        if path and "/evenkeel-" in path:
+            spark = SparkSession.active()
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(name: str) -> str:
+    """A column name that no table of a caller has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+def row_key(*columns: Column) -> list[Column]:
+    """128 bits that stand for these columns of a row, in two numbers; equal rows have equal keys."""
+    return [F.xxhash64(F.lit(seed), *[x for c in columns for x in (c, c.isNull())]) for seed in (1, 2)]
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows of docs whose keys aren't among the rows of `dropped` (a written table, a column for each key)."""
+    names = [fresh("key") for _ in keys]
+    marked = small(dropped.toDF(*names))
+    test = [k.eqNullSafe(marked[n]) for k, n in zip(keys, names)]
+    return docs.join(marked, test, "left_anti")

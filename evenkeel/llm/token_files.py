@@ -12,8 +12,10 @@ knows the running count inside it, and the counts of whole parts (a row a part)
 are summed when the files are read, so writing needs one pass.
 
 Defined results: a null text is empty and gives the end id alone. Rows without a
-doc_id come first. Rows with the same doc_id are all kept, in order of their
-texts. Other columns are ignored. An empty table gives an empty file set.
+doc_id come first. Rows with the same doc_id are all kept, in order of the first
+LEAD characters of their texts and then of the texts' hashes, so that they can be
+dealt to many tasks. A text of any length is one row; tasks encode a few of them
+at a time. Other columns are ignored. An empty table gives an empty file set.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import store
+from . import caches, store
 from .tokenizing import encoder
 
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 FILE_OPTIONS = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
-    "parquet.block.size": str(32 << 20),
+    "parquet.block.size": str(16 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
     "parquet.dictionary.page.size": str(2 << 20),
@@ -41,7 +43,8 @@ FILE_OPTIONS = {
     "parquet.enable.dictionary#local_start": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+LEAD = 64
 
 
 def _blocks(batch: pa.RecordBatch, limit: int = BATCH_BYTES):
@@ -85,13 +88,11 @@ def _encode(vocabulary: str, end_id: int):
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
     """Encode every text and write the token files to `path`, parts in ascending doc_id order."""
-    store.short_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    writer = ranged.mapInArrow(_encode(vocabulary, end_id), FILE_SCHEMA).write.mode("overwrite")
-    for key, value in FILE_OPTIONS.items():
-        writer = writer.option(key, value)
-    writer.parquet(path)
+    order = ["doc_id", F.substring("text", 1, LEAD), F.xxhash64("text")]
+    # equal rows may lie anywhere among themselves: their numbers as read keep even those from one task
+    ranged = rows.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    store.written(ranged.mapInArrow(_encode(vocabulary, end_id), FILE_SCHEMA), "tokens", path, **FILE_OPTIONS)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -111,6 +112,7 @@ def select_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> Data
 
 
 def _crc(batches):
+    caches.claim()
     for batch in batches:
         ids = batch.column("ids")
         bounds = ids.offsets.to_numpy()
@@ -121,11 +123,14 @@ def _crc(batches):
 
 def digests(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the checksum of the ids, from what `read` returns."""
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return store.written(rows, "digests")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     """Write all of `docs`, read the files back and return their digests."""
     path = store.new_path(docs.sparkSession, "tokens")
     write(docs, path, vocabulary, end_id)
-    return digests(read(docs.sparkSession, path))
+    found = digests(read(docs.sparkSession, path))
+    store.discard(path)
+    return found

@@ -14,9 +14,10 @@ import pyarrow.compute as pc
 
 from . import caches
 
-CACHE_PIECES, CACHE_STEMS = 400_000, 700_000
+#: What the two tables hold before they are emptied: entries, and characters of their keys. An entry is some 200 bytes besides.
+CACHE_PIECES, CACHE_STEMS, CACHE_CHARS = 100_000, 150_000, 8 << 20
 JOINED = 2_000
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 LONG = 1_000
 TAIL = ".,;:!?#$%&*|()"
 TAIL_BYTES = 4
@@ -67,6 +68,7 @@ class Encoder:
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.held: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.chars = 0
 
     def _plain(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
@@ -102,15 +104,15 @@ class Encoder:
 
     def _known(self, pieces: list[str], held: dict[str, bytes], learn) -> list[bytes]:
         """The ids of different pieces from one of the tables."""
-        learn([p for p in pieces if p not in held])
+        new = [p for p in pieces if p not in held]
+        self.chars += sum(map(len, new))
+        learn(new)
         return list(map(held.__getitem__, pieces))
 
     def _ids(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of different pieces, one after the other, and their numbers; a full table is emptied before what is missing is learnt."""
-        if len(self.held) > CACHE_PIECES:
-            self.held = {}
-        if len(self.stems) > CACHE_STEMS:
-            self.stems = {}
+        if len(self.held) > CACHE_PIECES or len(self.stems) > CACHE_STEMS or self.chars > CACHE_CHARS:
+            self.held, self.stems, self.chars = {}, {}, 0
         stems = pc.utf8_rtrim(pieces, characters=TAIL)
         tail = pc.subtract(pc.binary_length(pieces), pc.binary_length(stems)).to_numpy()
         # letters, then punctuation: the pre-tokenizer cuts between them, but not after the mark that a small İ ends with
