@@ -3,7 +3,9 @@
 The vocabulary's pre-tokenizer never joins characters across a blank or a line
 feed, so the ids of a text are the ids of its blank-separated pieces, one after
 the other. Pieces repeat often; each worker encodes a piece once and keeps its
-ids in a table of bounded size. Property tests hold this against plain `encode`.
+ids in tables of bounded size: letters in an Arrow array beside a flat array of
+ids (some 30 bytes an entry), other pieces in a dict. Property tests hold this
+against plain `encode`.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ import pyarrow.compute as pc
 
 from . import caches
 
-#: What the two tables hold before they are emptied: entries, and characters of their keys. An entry is some 200 bytes besides.
-CACHE_PIECES, CACHE_STEMS, CACHE_CHARS = 100_000, 150_000, 8 << 20
+#: What the two tables hold before they are emptied: pieces and their characters, stems and their bytes.
+CACHE_PIECES, CACHE_CHARS = 50_000, 4 << 20
+CACHE_STEMS, CACHE_BYTES = 900_000, 24 << 20
 JOINED = 2_000
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 4 << 20
 LONG = 1_000
 TAIL = ".,;:!?#$%&*|()"
 TAIL_BYTES = 4
@@ -66,10 +69,18 @@ class Encoder:
             self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.word_ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
+        self.small = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._empty_pieces()
+        self._empty_stems()
+
+    def _empty_pieces(self) -> None:
         self.held: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
         self.chars = 0
 
+    def _empty_stems(self) -> None:
+        self.stems = pa.array([], pa.large_string())
+        self.stem_ids, self.stem_sizes = np.empty(0, self.small), np.empty(0, np.int64)
+
     def _plain(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -102,28 +113,45 @@ class Encoder:
                 into[piece] = raw[low:high]
                 low = high + skip
 
-    def _known(self, pieces: list[str], held: dict[str, bytes], learn) -> list[bytes]:
-        """The ids of different pieces from one of the tables."""
-        new = [p for p in pieces if p not in held]
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces that aren't letters with a tail; a full table is emptied before what is missing is learnt."""
+        if len(self.held) > CACHE_PIECES or self.chars > CACHE_CHARS:
+            self._empty_pieces()
+        new = [p for p in pieces if p not in self.held]
         self.chars += sum(map(len, new))
-        learn(new)
-        return list(map(held.__getitem__, pieces))
+        self._learn(new)
+        return list(map(self.held.__getitem__, pieces))
+
+    def _stems(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for different letters: their ids, one after the other, and their numbers."""
+        if len(self.stems) > CACHE_STEMS or self.stems.nbytes > CACHE_BYTES:
+            self._empty_stems()
+        at = np.array(pc.fill_null(pc.index_in(words, value_set=self.stems), -1).to_numpy(zero_copy_only=False), np.int64)
+        missing = at < 0
+        if missing.any():
+            new = words.filter(pa.array(missing))
+            pieces, found = new.to_pylist(), {}
+            self._many(pieces, " ", found)
+            ids = list(map(found.__getitem__, pieces))
+            at[missing] = len(self.stems) + np.arange(len(pieces))
+            self.stems = pa.concat_arrays([self.stems, new])
+            self.stem_ids = np.concatenate([self.stem_ids, np.frombuffer(b"".join(ids), "<u4").astype(self.small)])
+            self.stem_sizes = np.concatenate([self.stem_sizes, np.fromiter(map(len, ids), np.int64, len(ids)) // 4])
+        return _gathered(self.stem_ids, self.stem_sizes, at)[0], self.stem_sizes[at]
 
     def _ids(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of different pieces, one after the other, and their numbers; a full table is emptied before what is missing is learnt."""
-        if len(self.held) > CACHE_PIECES or len(self.stems) > CACHE_STEMS or self.chars > CACHE_CHARS:
-            self.held, self.stems, self.chars = {}, {}, 0
+        """The ids of different pieces, one after the other, and their numbers."""
         stems = pc.utf8_rtrim(pieces, characters=TAIL)
         tail = pc.subtract(pc.binary_length(pieces), pc.binary_length(stems)).to_numpy()
         # letters, then punctuation: the pre-tokenizer cuts between them, but not after the mark that a small İ ends with
         built = pc.and_not(pc.utf8_is_alpha(stems), pc.match_substring(stems, "İ")).to_numpy(zero_copy_only=False)
         built &= (pc.utf8_length(pieces).to_numpy() <= LONG) & (tail <= TAIL_BYTES) & (self.word_ends is not None)
         coded = stems.filter(pa.array(built)).dictionary_encode()
-        ids = self._known(coded.dictionary.to_pylist(), self.stems, lambda new: self._many(new, " ", self.stems))
+        letters, letter_sizes = self._stems(coded.dictionary)
         first = np.empty(len(pieces), np.int64)
         first[built] = coded.indices.to_numpy()
-        first[~built] = np.arange(len(ids), len(ids) + np.count_nonzero(~built))
-        ids += self._known(pieces.filter(pa.array(~built)).to_pylist(), self.held, self._learn)
+        first[~built] = np.arange(len(letter_sizes), len(letter_sizes) + np.count_nonzero(~built))
+        ids = self._known(pieces.filter(pa.array(~built)).to_pylist())
         # a tail is ASCII; its bytes make one number
         raw, stops = np.frombuffer(pieces.buffers()[2] or b"", np.uint8), np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset + 1 :]
         code = np.zeros(len(pieces), np.int64)
@@ -131,10 +159,10 @@ class Encoder:
             at = np.flatnonzero(built & (tail > k))
             code[at] += raw[stops[at] - 1 - k].astype(np.int64) << 8 * k
         codes, last = np.unique(code, return_inverse=True)
-        last += len(ids)
+        last += len(letter_sizes) + len(ids)
         ids += [self._plain(c.to_bytes(TAIL_BYTES, "big").lstrip(b"\0").decode()) for c in codes.tolist()]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table, _ = _gathered(np.frombuffer(b"".join(ids), "<u4"), sizes, np.column_stack([first, last]).ravel())
+        sizes = np.concatenate([letter_sizes, np.fromiter(map(len, ids), np.int64, len(ids)) // 4])
+        table, _ = _gathered(np.concatenate([letters.astype("<u4"), np.frombuffer(b"".join(ids), "<u4")]), sizes, np.column_stack([first, last]).ravel())
         return table, sizes[first] + sizes[last]
 
     def _block(self, texts: list[str]) -> list[bytes]:

@@ -33,6 +33,7 @@ def test_edges_and_no_texts(encoder):
 def test_full_tables_and_small_blocks(encoder, monkeypatch, limit):
     monkeypatch.setattr(tokenizing, "CACHE_PIECES", limit)
     monkeypatch.setattr(tokenizing, "CACHE_STEMS", limit)
+    monkeypatch.setattr(tokenizing, "CACHE_CHARS", 20)
     monkeypatch.setattr(tokenizing, "BLOCK_CHARS", 10)
     assert ids(encoder, EDGES * 2) == plain(encoder, EDGES * 2)
 
