@@ -21,7 +21,7 @@ _bytes = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 _steps = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93)]
 
 
-def _segments(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segments(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
     h = _bytes[raw]
     have = 1
@@ -38,26 +38,24 @@ def _segments(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         width += by
     at = (m & low).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-    return first, np.diff(np.append(first, len(at))), h[at[first]]
+    return first, np.diff(np.append(first, len(at))), at[first] - first, h[at[first]]
 
 
-def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, number of windows, anchor hash and content hash of each segment of a text."""
-    starts, counts, marks, wholes = [], [], [], []
+def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, number of windows, place of the anchor, anchor hash and content hash of each segment of a text."""
+    found = []
     raw = np.frombuffer(text, np.uint8)
     low = 0
     while len(raw) - low >= WINDOW:
         part = raw[low : low + CHUNK]
-        first, n, mark = _segments(part)
-        starts.append(first + low)
-        counts.append(n)
-        marks.append(mark)
+        first, n, mark, anchor = _segments(part)
+        found.append((first + low, n, mark, anchor))
         low += len(part) - WINDOW + 1
-    if not starts:
+    if not found:
         empty = np.empty(0, np.int64)
-        return empty, empty, empty, empty
-    at, n = np.concatenate(starts), np.concatenate(counts)
+        return empty, empty, empty, empty, empty
+    at, n, mark, anchor = (np.concatenate(x) for x in zip(*found))
     view = memoryview(text)
     digest = xxhash.xxh3_64_intdigest
     whole = np.fromiter((digest(view[a:b]) for a, b in zip(at.tolist(), (at + n + WINDOW - 1).tolist())), np.uint64, len(at))
-    return at, n, np.concatenate(marks).view(np.int64), whole.view(np.int64)
+    return at, n, mark, anchor.view(np.int64), whole.view(np.int64)

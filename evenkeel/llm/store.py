@@ -36,17 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Texts are long, so Arrow batches are short; a written table needs the shuffle files behind it no longer.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 @contextmanager
-def short_batches(spark: SparkSession):
-    """Texts are long: unless the session says otherwise, Arrow batches hold BATCH_ROWS rows here, not ten thousand."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = spark.conf.get(key, None) is None
-    if own:
-        spark.conf.set(key, BATCH_ROWS)
+def settings(spark: SparkSession):
+    """SETTINGS hold inside, unless the session says otherwise; afterwards it is as before."""
+    own = [k for k in SETTINGS if spark.conf.get(k, None) is None]
+    for key in own:
+        spark.conf.set(key, SETTINGS[key])
     try:
         yield
     finally:
-        if own:
+        for key in own:
             spark.conf.unset(key)
 
 
@@ -61,7 +64,7 @@ def written(df: DataFrame, label: str, path: str | None = None, **options: str)
     writer = df.write.mode("overwrite")
     for key, value in options.items():
         writer = writer.option(key, value)
-    with short_batches(spark):
+    with settings(spark):
         writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

@@ -105,24 +105,6 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert got == label
 
 
-def test_repeats(docs, monkeypatch):
-    rows = [(i, t) for i, t in TEXTS if i not in (9, None)]
-    spark_docs = docs.where("doc_id is not null and doc_id <> 9")
-    seen, want = set(), {}
-    for i, t in rows:
-        raw = (t or "").encode()
-        mark = bytearray(len(raw))
-        for p in range(len(raw) - 99):
-            if raw[p : p + 100] in seen:
-                mark[p : p + 100] = b"\1" * 100
-            seen.add(raw[p : p + 100])
-        want[i] = (len(raw), sum(mark), hashlib.sha256(bytes(c for c, m in zip(raw, mark) if not m)).hexdigest())
-    for hot in (50_000, 1):
-        monkeypatch.setattr(repeats, "HOT", hot)
-        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in repeats.remove(spark_docs).collect()}
-        assert got == want
-
-
 def test_decontamination(docs, spark):
     bench = spark.createDataFrame([(10, "Quick brown fox, jumps over the LAZY dog near the old"), (2, "old river"), (7, None), (8, "..."), (None, "nothing of the kind is in there at all my friend")], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontam.digest(docs, bench).collect()}
