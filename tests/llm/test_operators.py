@@ -182,29 +182,3 @@ def test_quality(docs):
     assert got[3]["n_words"] == 0 and got[3]["base_failed"] and not got[3]["kept"]
     assert got[6]["n_words"] == 12000 and got[1]["base_failed"] and not got[6]["base_failed"]
     assert all(r["log_perplexity"] is None for i, r in got.items() if i in (3, 4, 5))
-
-
-def test_copies_weigh_once_in_the_bands(spark):
-    rng = np.random.default_rng(4)
-    letters = np.array(list("etaoinshrdlu"))
-    words = ["".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(300)]
-    some = [" ".join(rng.choice(words, 200)) for _ in range(40)]
-    hot = " ".join("".join(rng.choice(list("qzxjkv"), 6)) for _ in range(80))
-    rows = [(i, "en", t) for i, t in enumerate([*some, *[hot] * 200])]
-    plain = {r["doc_id"]: r for r in quality.digest(spark.createDataFrame(rows[:41], "doc_id long, lang string, text string")).collect()}
-    got = {r["doc_id"]: r for r in quality.digest(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
-    assert len(got) == 240 and all(got[i]["kept"] for i in range(40))
-    for i in range(41):
-        assert abs(got[i]["log_perplexity"] - plain[i]["log_perplexity"]) < 1e-5 and got[i]["kept"] == plain[i]["kept"]
-        assert abs(got[i]["lower"] - plain[i]["lower"]) < 1e-5 and abs(got[i]["upper"] - plain[i]["upper"]) < 1e-5
-
-
-def test_model_probabilities_sum_to_less_than_one(spark):
-    docs = spark.createDataFrame([("en", "abab abba baab " * 30), ("fr", "abc " * 40), (None, "zz")], "lang string, text string")
-    counts = quality.count_runs(docs)
-    found = {r["hash"]: r["log_p"] for r in quality.model(counts).collect()}
-    total: dict = {}
-    for r in counts.collect():
-        key = (r["mask"], (r["gram"] >> 16) & ((1 << 48) - 1))
-        total[key] = total.get(key, 0.0) + float(np.exp(found[r["gram"] ^ r["mask"]]))
-    assert all(0 < v <= 1 + 1e-5 for v in total.values())
