@@ -1,24 +1,27 @@
 """Secret scan with a trigram inverted index. DataFrame operations only.
 
 Each rule's regular expression gives a Boolean trigram query. One pass over the
-texts writes the postings (trigram, doc_id) of every trigram that some query
-names; the postings of a document are met in one aggregation, the queries are
-evaluated on what it holds, and only the rules whose query holds are verified on
-its text. Rules without mandatory trigrams scan every text.
+texts writes the index: for every trigram that some query names, its postings as
+a bitmap over the rows - a Boolean column, which Parquet stores as run-length
+coded bits in the order of the rows - beside the text of each row. Queries are
+ANDs and ORs of those columns: they intersect postings row block by row block,
+where the texts lie, so no posting and no text is moved between tasks, whatever
+ids the rows have. Only the texts whose query holds are verified with the rule's
+expression. Rules without mandatory trigrams scan every text.
 
 Rules: three base kinds (assign, access, hex) and those of the method, by the
 public formats of common tokens. A rule's match may have to be longer than its
 pattern says; matches that fail are dropped and not tried again.
 
-Defined results: null text is empty, without spans. Rows with a null or repeated
-doc_id are scanned each for itself (candidates are looked up by doc_id, which
-can only add rules to verify). Other columns are ignored. An empty table gives
-no rows.
+Defined results: null text is empty, without spans. Every row is scanned by
+itself, so null or repeated doc_ids do no harm. Texts of any length are scanned
+whole. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,33 +52,35 @@ RULES = (
 )
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def posting(trigram: str) -> str:
+    """The name of a trigram's column."""
+    return "t_" + "_".join(f"{ord(c):x}" for c in trigram)
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(trigram, doc_id) for the trigrams that the rules' queries name, as a written table."""
-    named = sorted({g for r in rules for clause in trigrams.query(r.pattern) or () for g in clause})
-    low = _rows(docs).select("doc_id", F.lower("text").alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in named])) if named else F.array().cast("array<string>")
-    return store.written(low.select("doc_id", F.explode(held).alias("trigram")).select("trigram", "doc_id"), "postings")
+def named(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    """The trigrams that the rules' queries name."""
+    return sorted({g for r in rules for clause in trigrams.query(r.pattern) or () for g in clause})
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and the kinds whose queries its postings fulfil; documents without any are left out."""
-    held = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
-    kinds = []
-    for rule in rules:
-        clauses = trigrams.query(rule.pattern)
-        if clauses is None:
-            continue
-        fulfilled = F.lit(False)
-        for clause in clauses:
-            names = F.array(*map(F.lit, sorted(clause)))
-            fulfilled = fulfilled | (F.size(F.array_intersect("held", names)) == len(clause))
-        kinds.append(F.when(fulfilled, F.lit(rule.kind)))
-    found = held.select("doc_id", F.array_compact(F.array(*kinds)).alias("kinds")) if kinds else held.select("doc_id", F.array().cast("array<string>").alias("kinds"))
-    return found.where(F.size("kinds") > 0)
+def build(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The index, a written table: doc_id and text of each row, and the postings of every named trigram as a Boolean column."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    low = rows.select("doc_id", "text", F.lower("text").alias("low"))
+    return store.written(low.select("doc_id", "text", *[F.contains("low", F.lit(g)).alias(posting(g)) for g in named(rules)]), "postings", compression="zstd")
+
+
+def holds(rule: Rule) -> Column:
+    """Whether a row of the index fulfils the rule's query: for some clause, all its postings have the row."""
+    clauses = trigrams.query(rule.pattern)
+    if clauses is None:
+        return F.lit(True)
+    every = lambda clause: reduce(lambda a, b: a & b, [F.col(posting(g)) for g in sorted(clause)])
+    return reduce(lambda a, b: a | b, map(every, clauses))
+
+
+def candidates(index: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of the index on which a rule is verified; the scan reads their texts and the rule's postings only."""
+    return index.where(holds(rule)).select("doc_id", "text")
 
 
 def _kept(text: Column, rule: Rule, needs: Column) -> Column:
@@ -87,15 +92,9 @@ def _kept(text: Column, rule: Rule, needs: Column) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, text and the spans of each row: array<struct<start, rank, kind, end>> named `found`."""
-    rows = _rows(docs)
-    chosen = candidates(postings(docs, rules), rules).withColumnRenamed("doc_id", "chosen_id")
-    joined = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left")
-    found = []
-    for rank, rule in enumerate(rules):
-        scans_all = trigrams.query(rule.pattern) is None
-        needs = F.lit(True) if scans_all else F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
-        found.append(spans.ranked(_kept(F.col("text"), rule, needs), rank, rule.kind))
-    return joined.select("doc_id", "text", F.concat(*found).alias("found"))
+    index = build(docs, rules)
+    found = [spans.ranked(_kept(F.col("text"), rule, holds(rule)), rank, rule.kind) for rank, rule in enumerate(rules)]
+    return index.select("doc_id", "text", F.concat(*found).alias("found"))
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
