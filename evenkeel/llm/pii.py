@@ -2,30 +2,37 @@
 
 Candidates are the base kinds (email, ip, card, phone) and looser forms: written-
 out addresses, phone numbers without a country code, national ids and names that
-begin with a known given name. On each candidate three labelers vote for (1),
-against (-1) or not at all (0): the strict format of its kind, a gazetteer (which
-never votes against), and the words before it. Spark counts each combination of kind, votes and length
-over all documents; there are at most PATTERNS of them, however many documents.
-From these counts expectation-maximisation estimates each labeler's reliability
-and each combination's probability, and a logistic classifier is fitted to the
-probabilities. The classifier alone decides on the looser candidates; base spans
-always stay.
+begin with a given name of the gazetteer. On each candidate three labelers vote
+for (1), against (-1) or not at all (0): the strict format of its kind, a
+gazetteer (which never votes against), and the BEFORE characters before it. One
+pass over the texts finds all candidates and their votes and writes them beside
+the rows; nothing reads the texts for them again. Spark counts each combination
+of kind, votes and length over all documents; there are at most PATTERNS of them,
+however many documents. From these counts expectation-maximisation estimates each
+labeler's reliability and each combination's probability, and a logistic
+classifier is fitted to the probabilities. The classifier alone decides on the
+looser candidates; base spans always stay.
 
 Defined results: null text is empty, without spans. Every row is judged by
-itself, so null or repeated doc_ids do no harm. Other columns are ignored (and
-kept by `redact`). An empty table gives no rows and leaves the classifier
-without evidence, which adds no span.
+itself, so null or repeated doc_ids do no harm. Texts of any length are searched
+whole, and redacted in time linear in the text and its spans. Overlapping spans
+are all listed; redaction replaces a run of them by the kind of the first (of
+equal starts, the kind listed first). Other columns are ignored (and kept by
+`redact`). An empty table gives no rows and leaves the classifier without
+evidence, which adds no span.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import spans
+from . import spans, store
 
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("written_email", "local_phone", "national_id", "person")
@@ -41,17 +48,64 @@ CARD = r"[0-9](?:[0-9]|[\x20-](?=[0-9]))++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-#: Gazetteers and cue words.
-GIVEN = "Alice Anna Antonio Carlos Claire David Emma Hans James Jane Jean John Jose Juan Julia Karl Laura Luis Maria Marie Martin Mary Michael Miguel Paul Peter Pierre Robert Sarah Sophie Thomas William".split()
-FAMILY = "Brown Davis Dubois Durand Fischer Garcia Johnson Jones Lopez Martin Martinez Meyer Miller Moreau Muller Petit Rodriguez Sanchez Schmidt Schneider Smith Taylor Weber Williams Wilson".split()
+#: Names and endings of the gazetteer that is used where none is given.
+GIVEN = """
+    Adam Alexander Alice Ana Andrea Andrew Angela Anna Anne Antonio Barbara Benjamin Brian Carlos Carmen Caroline Catherine Charles
+    Charlotte Christian Christine Christopher Claire Daniel David Diego Elena Elizabeth Emily Emma Eric Erika Fernando Florian
+    Francisco Frank Franz George Hans Heinrich Helen Henry Isabel Jack James Jane Javier Jean Jennifer Jessica Johannes John Jorge
+    Jose Joseph Juan Julia Julie Julien Karin Karl Katharina Kevin Laura Linda Lucas Luis Manuel Marc Maria Marie Mark Martin Mary
+    Matthew Michael Miguel Monika Nancy Nicolas Olivier Pablo Patricia Paul Pedro Peter Philippe Pierre Rachel Robert Rosa Ruth
+    Samuel Sandra Sarah Sofia Sophie Stefan Stephen Susan Teresa Thomas Ursula Victor Walter William Wolfgang
+""".split()
+FAMILY = """
+    Adams Allen Anderson Bailey Baker Bauer Becker Bennett Bernard Brown Campbell Carter Clark Collins Cook Cooper Cruz David Davis
+    Diaz Dubois Durand Edwards Evans Fernandez Fischer Fournier Garcia Girard Gomez Gonzalez Green Hall Harris Hernandez Hill
+    Hoffmann Jackson Johnson Jones Kelly King Klein Koch Lambert Laurent Lee Lefebvre Leroy Lewis Lopez Martin Martinez Meyer Miller
+    Mitchell Moore Moreau Moreno Morgan Morris Muller Murphy Nelson Parker Perez Peterson Petit Phillips Ramirez Reed Richter Rivera
+    Roberts Robinson Rodriguez Rogers Romero Roux Ruiz Sanchez Schmidt Schneider Schulz Scott Simon Smith Stewart Suarez Taylor
+    Thomas Thompson Torres Turner Vincent Wagner Walker Ward Watson Weber White Williams Wilson Wolf Wood Wright Young
+""".split()
 DOMAINS = "com de es fr net org edu gov info io uk".split()
+#: Cue words.
 CUES = "call|contact|correo|courriel|cell|e-?mail|fax|kontakt|mobile|nombre|name|phone|reach|signed|social security|ssn|tel|telefon|telefono|dear|mr|mrs|ms"
 COUNTER = "chapter|figure|invoice|isbn|item|model|order|page|part|product|section|serial|version"
 
-WRITTEN = rf"[A-Za-z0-9][A-Za-z0-9._-]{{0,63}}\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]{{1,63}}){{1,4}}"
+WRITTEN = r"(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9._-]*+\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++"
 LOCAL_PHONE = r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PERSON = rf"\b(?:{'|'.join(GIVEN)})\x20[A-Z][a-z]{{1,30}}\b"
+#: The places of two capitalised words; cheap to test, and what a name begins with.
+CAPITALS = r"\p{Lu}\p{Ll}++\x20\p{Lu}\p{Ll}"
+MOST_NAMES = 2_000
+
+
+@dataclass(frozen=True)
+class Gazetteer:
+    """Given names, family names and ends of domains; at most MOST_NAMES of each, for they become part of expressions."""
+
+    given: tuple[str, ...] = tuple(GIVEN)
+    family: tuple[str, ...] = tuple(FAMILY)
+    domains: tuple[str, ...] = tuple(DOMAINS)
+
+    def __post_init__(self):
+        for values in (self.given, self.family, self.domains):
+            if len(values) > MOST_NAMES:
+                raise ValueError(f"a gazetteer holds at most {MOST_NAMES} values of a kind")
+
+    @property
+    def person(self) -> str:
+        names = "|".join(re.escape(n) for n in sorted(self.given, key=lambda n: (-len(n), n))) or "(?!)"
+        return rf"(?={CAPITALS})(?<![\p{{L}}\p{{N}}])(?:{names})\x20\p{{Lu}}\p{{Ll}}++(?!\p{{L}})"
+
+    @property
+    def domain(self) -> str:
+        return rf"(?i)(?:\.|dot[\])])\x20?(?:{'|'.join(map(re.escape, self.domains)) or '(?!)'})$"
+
+
+def gazetteer_of(table: DataFrame) -> Gazetteer:
+    """A gazetteer from a table (kind: given, family or domain; value)."""
+    rows = table.select("kind", "value").dropna().distinct().limit(3 * MOST_NAMES + 1).collect()
+    of = lambda kind: tuple(sorted(r["value"] for r in rows if r["kind"] == kind))
+    return Gazetteer(of("given"), of("family"), of("domain"))
 
 
 def _luhn(what: Column) -> Column:
@@ -77,45 +131,39 @@ def _valid(kind: str, what: Column) -> Column:
     return F.lit(True)
 
 
-PATTERN = dict(zip((*BASE, *LOOSE), (EMAIL, IP, CARD, PHONE, WRITTEN, LOCAL_PHONE, NATIONAL, PERSON)))
+PATTERN = dict(zip(BASE + LOOSE[:-1], (EMAIL, IP, CARD, PHONE, WRITTEN, LOCAL_PHONE, NATIONAL)))
+#: What every match of a numeric kind begins with or has inside: seven characters of numbers, of which the first is a digit.
+NUMBERS = r"[0-9][0-9().\x20-]{6}"
 
 
-def _needs(text: Column) -> dict[str, Column]:
-    """Cheap conditions without which a text has no match of a kind."""
+def _needs(text: Column, numbers: Column) -> dict[str, Column]:
+    """Cheap conditions without which a text has no match of a kind; `numbers` says whether it has NUMBERS."""
     return {
         "email": F.contains(text, F.lit("@")),
-        "ip": text.rlike(r"[0-9]\.[0-9]++\.[0-9]"),
-        "phone": F.contains(text, F.lit("+")),
+        "ip": numbers & text.rlike(r"[0-9]\.[0-9]++\.[0-9]"),
+        "card": numbers & text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"),
+        "phone": numbers & F.contains(text, F.lit("+")),
         "written_email": F.contains(text, F.lit("[at]")) | F.contains(text, F.lit("(at)")),
-        "local_phone": text.rlike(r"[0-9][.-][0-9]{4}"),
-        "national_id": text.rlike(r"-[0-9]{2}-[0-9]{4}"),
+        "local_phone": numbers & text.rlike(r"[0-9][.-][0-9]{4}"),
+        "national_id": numbers & text.rlike(r"-[0-9]{2}-[0-9]{4}"),
+        "person": text.rlike(CAPITALS),
     }
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<start, rank, kind, end>> of the four base kinds."""
-    needs = _needs(text) | {"card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")}
-
-    def kept(kind: str) -> Column:
-        return F.filter(spans.matches(text, PATTERN[kind], needs[kind]), lambda x: _valid(kind, x["what"]))
-
-    return F.concat(*[spans.ranked(kept(kind), rank, kind) for rank, kind in enumerate(BASE)])
-
-
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def candidates(text: Column, kinds: tuple[str, ...] = (*BASE, *LOOSE)) -> Column:
-    """array<struct<start, end, kind, format, gazetteer, context, length>>: every candidate of the kinds with its votes.
+def candidates(text: Column, numbers: Column | None = None, gazetteer: Gazetteer = Gazetteer()) -> Column:
+    """array<struct<start, end, kind, format, gazetteer, context, length>>: every candidate with its votes.
 
-    Each kind is searched in a pass of its own, so that none hides another. Loose candidates inside a base span are none.
+    Each kind is searched in a pass of its own, so that none hides another; only texts that have what the kind needs are searched.
     """
-    domain = rf"(?i)(?:\.|dot[\])])\x20?(?:{'|'.join(DOMAINS)})$"
+    needs = _needs(text, text.rlike(NUMBERS) if numbers is None else numbers)
 
     def strict(kind: str, what: Column) -> Column:
         if kind == "written_email":
-            return what.rlike(domain)
+            return what.rlike(gazetteer.domain)
         if kind == "local_phone":
             return what.rlike(r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9]")
         if kind == "national_id":
@@ -125,34 +173,47 @@ def candidates(text: Column, kinds: tuple[str, ...] = (*BASE, *LOOSE)) -> Column
     def judged(kind: str, x: Column) -> Column:
         what, before = x["what"], F.lower(x["before"])
         form = strict(kind, what)
-        named = what.rlike(domain) if kind in ("email", "written_email") else what.rlike(rf"\x20(?:{'|'.join(FAMILY)})$") if kind == "person" else F.lit(False)
+        named = what.rlike(gazetteer.domain) if kind in ("email", "written_email") else F.element_at(F.split(what, " "), -1).isin(list(gazetteer.family)) if kind == "person" else F.lit(False)
         context = _vote(before.rlike(rf"\b(?:{CUES})\b[^a-z]*(?:[a-z]+[^a-z]+){{0,2}}$"), before.rlike(rf"\b(?:{COUNTER})\b[^a-z]*$"))
         length = F.least(F.floor(F.char_length(what) / 8).cast("int"), F.lit(LENGTHS - 1))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), _vote(form, ~form).alias("format"), F.when(named, 1).otherwise(0).alias("gazetteer"), context.alias("context"), length.alias("length"))
 
-    needs = _needs(text)
-
     def found(kind: str) -> Column:
-        return F.transform(spans.matches(text, PATTERN[kind], needs.get(kind)), lambda x: judged(kind, x))
+        return F.transform(spans.matches(text, gazetteer.person if kind == "person" else PATTERN[kind], needs[kind]), lambda x: judged(kind, x))
 
-    loose = [found(k) for k in kinds if k in LOOSE]
-    if not loose:
-        return F.concat(*[found(k) for k in kinds])
+    return F.concat(*map(found, (*BASE, *LOOSE)))
 
-    def outside(some: Column) -> Column:
-        inside = lambda c, own: F.exists(own, lambda s: (s["start"] <= c["start"]) & (c["end"] <= s["end"]))
-        return F.when(F.size(some) == 0, some).otherwise(spans.bound(base_spans(text), lambda own: F.filter(some, lambda c: ~inside(c, own))))
 
-    return F.concat(*[found(k) for k in kinds if k in BASE], spans.bound(F.concat(*loose), outside))
+def _is_base(c: Column) -> Column:
+    return c["kind"].isin(*BASE) & (c["format"] == 1)
+
+
+def outside(found: Column) -> Column:
+    """The candidates but those of looser kinds that lie in a base span, in order of their starts."""
+    placed = lambda c: F.struct(c["start"].alias("start"), c["kind"].isin(*LOOSE).alias("loose"), c["end"].alias("end"), c.alias("c"))
+    reach = lambda xs: spans.running(xs, F.lit(0), lambda at, x: F.when(_is_base(x["c"]), F.greatest(at, x["end"])).otherwise(at), "int", lambda at, x: at)
+    both = lambda xs: F.zip_with(xs, reach(xs), lambda x, r: F.struct(x.alias("x"), r.alias("reach")))
+    kept = lambda xs: F.filter(both(xs), lambda p: ~p["x"]["loose"] | (p["x"]["end"] > p["reach"]))
+    cleared = spans.bound(F.array_sort(F.transform(found, placed)), lambda xs: F.transform(kept(xs), lambda p: p["x"]["c"]))
+    return F.when(F.exists(found, lambda c: c["kind"].isin(*LOOSE)), cleared).otherwise(found)
+
+
+def searched(docs: DataFrame, gazetteer: Gazetteer = Gazetteer(), carry: bool = False) -> DataFrame:
+    """row_doc and `found` (the candidates) of each row as a written table, with `carry` the row itself as one column."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    kept = [F.struct(*docs.columns).alias("row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("row_doc"), text.alias("text"), text.rlike(NUMBERS).alias("numbers"), *kept)
+    found = rows.select("row_doc", candidates(F.col("text"), F.col("numbers"), gazetteer).alias("found"), *(["row"] if carry else []))
+    found = found.withColumn("found", outside(F.col("found")))
+    return store.written(found, "candidates", compression="zstd")
 
 
 FIELDS = ("kind", "format", "gazetteer", "context", "length")
 
 
-def count_patterns(docs: DataFrame) -> list[tuple[tuple, int]]:
-    """Each combination of kind, votes and length with its count over all documents; at most PATTERNS."""
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.select(F.explode(candidates(F.col("text"))).alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FIELDS]).count()
+def count_patterns(found: DataFrame) -> list[tuple[tuple, int]]:
+    """Each combination of kind, votes and length with its count over all `searched` rows; at most PATTERNS."""
+    rows = found.where(F.size("found") > 0).select(F.explode("found").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FIELDS]).count()
     return sorted((tuple(r[f] for f in FIELDS), r["count"]) for r in rows.collect())
 
 
@@ -209,26 +270,25 @@ def score(weights: dict[str, float], c: Column) -> Column:
     return linear + sum(F.lit(weights.get(f, 0.0)) * c[f] for f in ("format", "gazetteer", "context"))
 
 
-def train(docs: DataFrame) -> dict[str, float]:
-    patterns = count_patterns(docs)
+def train(found: DataFrame) -> dict[str, float]:
+    patterns = count_patterns(found)
     held, _ = estimate(patterns)
     return fit(patterns, held)
 
 
-def all_spans(text: Column, weights: dict[str, float]) -> Column:
+def accepted(found: Column, weights: dict[str, float]) -> Column:
     """Base spans and the looser candidates that the classifier accepts: array<struct<start, rank, kind, end>>."""
     threshold = math.log(ACCEPT / (1 - ACCEPT))
-    accepted = F.filter(candidates(text, LOOSE), lambda c: score(weights, c) >= threshold)
-    ranks = F.create_map(*[F.lit(x) for i, k in enumerate(LOOSE) for x in (k, len(BASE) + i)])
-    loose = F.transform(accepted, lambda c: F.struct(c["start"].alias("start"), ranks[c["kind"]].alias("rank"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return F.concat(base_spans(text), loose)
+    kept = F.filter(found, lambda c: F.when(c["kind"].isin(*BASE), c["format"] == 1).otherwise(score(weights, c) >= threshold))
+    rank = lambda c: reduce(lambda acc, x: acc.when(c["kind"] == x[1], x[0]), enumerate((*BASE, *LOOSE)), F.when(F.lit(False), -1))
+    return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), rank(c).alias("rank"), c["kind"].alias("kind"), c["end"].alias("end")))
 
 
-def detect(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """doc_id and `found` of each row."""
-    weights = train(docs) if weights is None else weights
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), all_spans(text, weights).alias("found"))
+def detect(docs: DataFrame, weights: dict[str, float] | None = None, gazetteer: Gazetteer = Gazetteer()) -> DataFrame:
+    """doc_id and `found` (array<struct<start, rank, kind, end>>) of each row."""
+    rows = searched(docs, gazetteer)
+    weights = train(rows) if weights is None else weights
+    return rows.select(F.col("row_doc").alias("doc_id"), accepted(F.col("found"), weights).alias("found"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -240,29 +300,40 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redacted(text: Column, found: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by its first kind in angle brackets."""
-    kind = "array<struct<low:int,high:int,kind:string>>"
-    merged = F.aggregate(
-        F.array_sort(found),
-        F.expr(f"cast(array() as {kind})"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["high"] > x["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["low"].alias("low"), F.greatest(F.element_at(acc, -1)["high"], x["end"]).alias("high"), F.element_at(acc, -1)["kind"].alias("kind")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("low"), x["end"].alias("high"), x["kind"].alias("kind"))))),
-    )
-
-    def cut(runs: Column) -> Column:
-        before = lambda i: F.when(i > 0, runs[i - 1]["high"]).otherwise(0)
-        parts = F.transform(runs, lambda r, i: F.concat(F.substring(text, before(i) + 1, r["low"] - before(i)), F.lit("<"), F.upper(r["kind"]), F.lit(">")))
-        last = F.element_at(runs, -1)["high"]
-        return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.char_length(text) - last))
-
-    return F.when(F.size(found) == 0, text).otherwise(spans.bound(merged, cut))
-
-
-def redact(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    ends = lambda xs: spans.running(xs, F.lit(0), lambda at, x: F.greatest(at, x["end"]), "int", lambda at, x: at)
+
+    def runs(sorted_: Column, before: Column) -> Column:
+        """Of sorted spans and the furthest end before each: the first of every run, with the end of the run."""
+        with_before = F.zip_with(sorted_, before, lambda x, b: F.struct(x["start"].alias("low"), x["kind"].alias("kind"), b.alias("before")))
+        first = F.filter(with_before, lambda x, i: (i == 0) | (x["low"] >= x["before"]))
+        last = F.array_max(F.transform(sorted_, lambda x: x["end"]))
+        high = F.concat(F.transform(F.slice(first, 2, F.size(first)), lambda x: x["before"]), F.array(last))
+        return F.zip_with(first, high, lambda x, h: F.struct(x["low"].alias("low"), h.alias("high"), x["kind"].alias("kind")))
+
+    def cut(merged: Column) -> Column:
+        piece = spans.pieces(text)
+
+        def parts(blocks: Column) -> Column:
+            before = lambda i: F.when(i > 0, merged[i - 1]["high"]).otherwise(0)
+            kept = F.transform(merged, lambda r, i: F.concat(piece(blocks, before(i), r["low"]), F.lit("<"), F.upper(r["kind"]), F.lit(">")))
+            return F.concat(F.array_join(kept, ""), piece(blocks, F.element_at(merged, -1)["high"], F.char_length(text)))
+
+        return spans.bound(spans.blocks_of(text), parts)
+
+    merged = spans.bound(F.array_sort(found), lambda xs: spans.bound(ends(xs), lambda b: spans.bound(runs(xs, b), cut)))
+    return F.when(F.size(found) == 0, text).otherwise(merged)
+
+
+def redact(docs: DataFrame, weights: dict[str, float] | None = None, gazetteer: Gazetteer = Gazetteer()) -> DataFrame:
     """Every row of docs with its spans replaced in `text`, and n_chars to match; null text stays null."""
-    weights = train(docs) if weights is None else weights
-    text = F.col("text")
-    fresh = F.when(text.isNotNull(), spans.bound(all_spans(F.coalesce(text, F.lit("")), weights), lambda found: redacted(text, found)))
-    out = docs.withColumn("text", fresh)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
+    rows = searched(docs, gazetteer, carry=True)
+    weights = train(rows) if weights is None else weights
+    text = F.col("row.text")
+    fresh = F.when(text.isNotNull(), spans.bound(accepted(F.col("found"), weights), lambda found: redacted(text.cast("string"), found)))
+    changed = F.size("found") > 0
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    name = next(c for c in docs.columns if c.lower() == "text")
+    columns[name] = F.when(changed, fresh).otherwise(text)
+    out = rows.select(*[v.alias(c) for c, v in columns.items()])
+    size = F.char_length(name).cast("long")
+    return out.withColumn("n_chars", F.when(F.col(name).isNotNull(), size).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
