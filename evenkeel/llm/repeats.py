@@ -46,7 +46,7 @@ from .runindex import Strings, repeated
 from .shingles import mixed
 from .token_files import _blocks
 
-HOT = 12_000
+HOT = 4_000
 BUCKET = 2 << 20
 BLOCK = 2 << 20
 NO_ID = -(1 << 63)
