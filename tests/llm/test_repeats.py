@@ -94,7 +94,7 @@ def corpus(seed: int):
     return rows
 
 
-@pytest.mark.parametrize("hot, bucket", [(12_000, 2 << 20), (12_000, 2_000), (1, 2_000)])
+@pytest.mark.parametrize("hot, bucket", [(4_000, 2 << 20), (4_000, 2_000), (1, 2_000)])
 def test_against_every_window(spark, monkeypatch, hot, bucket):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "BUCKET", bucket)
