@@ -17,8 +17,10 @@
 5. Components of the verified links.
 
 Groups and buckets of any size are whole: beyond BLOCK members they are cut into
-blocks. Blocks are first compared within themselves; then only members outside a
-group's largest component (which a link could still join) meet the other blocks.
+blocks (`linked`). Every block also holds PIVOTS members of the whole group, so
+what is like one of them hangs together at once; then only members outside the
+group's largest part (which a link could still join) meet the other blocks. A
+group of n copies with u members unlike its pivots makes n + u * n / BLOCK rows.
 
 Defined results: null or wordless text has no shingles and no links. doc_id is
 the key: rows that repeat it are versions of one document and share its
@@ -33,7 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import caches, shingles, store
@@ -44,7 +46,8 @@ PERMUTATIONS, ROWS, BITS = 128, 4, 4
 BANDS = PERMUTATIONS // ROWS
 NEED, OF = 75, 100
 MARGIN = 0.2
-BLOCK = 1_000
+BLOCK = 300
+PIVOTS = 6
 BLOCK_SHINGLES = 2_000
 
 _random = np.random.RandomState(20_240)
@@ -214,33 +217,65 @@ def _verify(batches):
     yield _edges(out)
 
 
-def _blocks_of(group: Column, blocks: Column, own: Column, other: Column) -> Column:
-    return F.xxhash64(group, F.least(own, other), F.greatest(own, other), blocks)
-
-
-def _in_pairs(rows: DataFrame, group: str, member: str, weight: Column, limit: int) -> DataFrame:
-    """Rows with a `key` for each pair of blocks of their group; a group within the limit has one key."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum(weight) / limit).cast("int").alias("blocks")).where("n > 1").select(group, "blocks")
-    placed = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or own <> other")
-    return placed.withColumn("key", _blocks_of(F.col(group), F.col("blocks"), F.col("own"), F.col("other")))
+def linked(rows: DataFrame, check) -> DataFrame:
+    """Links (a, b) that join all members of each group that are linked in it, as a written table.
+
+    rows: group, id and weight (1 for a usual member). check(rows of key and id) gives a written table of the links
+    between members with equal keys, or of a spanning forest of them.
+    """
+    pivots = [F.min(F.struct(F.xxhash64(F.lit(k), "id"), "id")).getField("id").alias(f"pivot{k}") for k in range(PIVOTS)]
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("weight") / BLOCK).cast("int").alias("blocks"), *pivots).where("n > 1")
+    sizes = store.written(sizes, "group-sizes")
+    placed = store.written(rows.join(sizes.select("group", "blocks"), "group").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "blocks")
+    key = lambda *parts: F.xxhash64("group", *parts)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    large = sizes.where("blocks > 1")
+    shared = large.withColumn("own", every("blocks")).select(key("own", F.lit(-1)).alias("key"), F.explode(F.array_distinct(F.array(*[f"pivot{k}" for k in range(PIVOTS)]))).alias("id"))
+    within = placed.select(key("own", F.lit(-1)).alias("key"), "id")
+    if not large.limit(1).count():
+        return check(within)
+    links = check(within.unionByName(shared).distinct())
+    open_ = placed.where("blocks > 1")
+    ids = store.written(open_.select("id").distinct(), "open-ids")
+    inner = links.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    parts = open_.join(components(inner).withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    counts = parts.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("group").agg(F.max(F.struct("n", "part")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("group", F.col("x.part").alias("largest"))
+    rest = store.written(parts.join(largest, "group").withColumn("minor", F.col("part") != F.col("largest")), "rest")
+    minors = rest.where("minor").groupBy("group").agg(F.ceil(F.sum("weight") / BLOCK).cast("int").alias("minors"))
+    both = rest.join(minors, "group")
+    # every block of minor members meets every block of the group
+    theirs = both.withColumn("m", every("minors")).select(key("own", "m").alias("key"), "id")
+    own_minor = F.pmod(F.xxhash64("id", F.lit(1)), F.col("minors")).cast("int")
+    spread = both.where("minor").withColumn("to", every("blocks")).where("to <> own").select(key("to", own_minor).alias("key"), "id")
+    out = store.written(links.unionByName(check(theirs.unionByName(spread))), "links")
+    store.discard(links, placed, sizes, ids, rest)
+    return out
 
 
 def candidate_groups(reps: DataFrame) -> DataFrame:
     """(id, component): the groups of representatives that may be linked."""
     members = reps.select("rep", F.explode("bands").alias("hash"))
     shared = members.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    rows = store.written(members.join(shared, "hash").select("hash", "rep"), "buckets")
-    keyed = _in_pairs(rows, "hash", "rep", F.lit(1), BLOCK).select("key", "rep").join(reps.select("rep", "packed"), "rep")
-    dealt = keyed.repartition("key").sortWithinPartitions("key").select("key", "rep", "packed")
-    return components(dealt.mapInArrow(_estimate, "a long, b long"))
+    rows = store.written(members.join(shared, "hash").select(F.col("hash").alias("group"), F.col("rep").alias("id"), F.lit(1.0).alias("weight")), "buckets")
+
+    def estimated(keyed: DataFrame) -> DataFrame:
+        packs = keyed.join(reps.select(F.col("rep").alias("id"), "packed"), "id")
+        dealt = packs.repartition("key").sortWithinPartitions("key").select("key", F.col("id").alias("rep"), "packed")
+        return store.written(dealt.mapInArrow(_estimate, "a long, b long").distinct(), "estimated")
+
+    return components(linked(rows, estimated))
+
+
+def verified(docs: DataFrame):
+    """check(rows of key and id): links (a, b) within each key, by the full sets of the documents."""
 
+    def check(keyed: DataFrame) -> DataFrame:
+        texts = _texts(docs).join(keyed, F.col("doc_id") == F.col("id")).select("key", "doc_id", "text")
+        dealt = texts.repartition("key").sortWithinPartitions("key")
+        return store.written(dealt.mapInArrow(_verify, "a long, b long").distinct(), "verified")
 
-def verified(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) within each key of rows (key, doc_id), as a written table."""
-    texts = _texts(docs).join(rows.select("key", F.col("doc_id").alias("id")), F.col("doc_id") == F.col("id")).select("key", "doc_id", "text")
-    dealt = texts.repartition("key").sortWithinPartitions("key")
-    return store.written(dealt.mapInArrow(_verify, "a long, b long").distinct(), "verified")
+    return check
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -249,27 +284,9 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     some = signed.where("n_shingles > 0 and doc_id is not null")
     first = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "packed", "bands")).alias("x"))
     reps = store.written(first.select("set_key", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("size"), F.col("x.packed").alias("packed"), F.col("x.bands").alias("bands")), "classes")
-    groups = candidate_groups(reps).join(reps.select(F.col("rep").alias("id"), "size"), "id").groupBy("id", "component").agg(F.max("size").alias("size"))
-    weight = F.greatest(F.lit(1.0), F.col("size") / BLOCK_SHINGLES)  # a block is bounded in members and in shingles
-    sizes = groups.groupBy("component").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("blocks"))
-    placed = store.written(groups.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "groups")
-    within = placed.select(_blocks_of(F.col("component"), F.col("blocks"), F.col("own"), F.col("own")).alias("key"), F.col("id").alias("doc_id"))
-    links = verified(within, docs)
-    if placed.where("blocks > 1").limit(1).count():
-        found = components(links).withColumnRenamed("component", "part")
-        parts = placed.where("blocks > 1").join(found, "id", "left").withColumn("part", F.coalesce("part", "id"))
-        counts = parts.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"))
-        largest = counts.groupBy("component").agg(F.max(F.struct("n", "part")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("component", F.col("x.part").alias("largest"))
-        open_ = store.written(parts.join(largest, "component").withColumn("minor", F.col("part") != F.col("largest")), "open")
-        minor = open_.where("minor").groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("minors"))
-        key = lambda mine, minor_block: F.xxhash64("component", mine, minor_block, F.lit("minor"))
-        both = open_.join(minor, "component")
-        # every minor block meets every block of its group
-        all_blocks = both.withColumn("m", F.explode(F.sequence(F.lit(0), F.col("minors") - 1))).select(key(F.col("own"), F.col("m")).alias("key"), F.col("id").alias("doc_id"))
-        own_minor = F.pmod(F.xxhash64("id", F.lit(1)), F.col("minors")).cast("int")
-        spread = both.where("minor").withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("mine <> own").select(key(F.col("mine"), own_minor).alias("key"), F.col("id").alias("doc_id"))
-        links = store.written(links.unionByName(verified(all_blocks.unionByName(spread), docs)), "links-so-far")
-    return signed, reps, links
+    weight = F.greatest(F.lit(1.0), F.max("size") / BLOCK_SHINGLES)  # a block is bounded in members and in shingles
+    groups = candidate_groups(reps).join(reps.select(F.col("rep").alias("id"), "size"), "id").groupBy("id", F.col("component").alias("group")).agg(weight.alias("weight"))
+    return signed, reps, linked(store.written(groups, "groups"), verified(docs))
 
 
 def clusters(docs: DataFrame) -> DataFrame:
