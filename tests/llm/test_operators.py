@@ -86,23 +86,41 @@ def test_near_duplicates(docs):
     assert 2 not in kept and 7 not in kept and kept.count(9) == 2 and None in kept
 
 
-def test_blocks_of_a_large_group(spark, monkeypatch):
-    """A chain of near copies over many blocks keeps every link."""
-    monkeypatch.setattr(neardup, "BLOCK", 5)
+def labels(rows, need=75):
+    """The smallest linked id of each document, from all pairs of full sets."""
+    shingles = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        shingles[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in shingles}
+    ids = sorted(shingles)
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            a, b = shingles[i], shingles[j]
+            if a and b and 100 * len(a & b) >= need * len(a | b) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("block, pivots", [(5, 2), (5, 0), (300, 6)])
+def test_blocks_of_a_large_group(spark, monkeypatch, block, pivots):
+    """A chain, a crowd of near copies and loners keep every link, however they are cut."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "PIVOTS", max(pivots, 1))
+    rng = np.random.default_rng(block + pivots)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[3 * i : 3 * i + 130])) for i in range(60)]
+    crowd = [f"c{i}" for i in range(100)]
+    for i in range(60, 140):
+        copy = list(crowd)
+        for k in rng.integers(0, 100, rng.integers(0, 4)):
+            copy[k] = f"x{rng.integers(9)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(200, crowd[0]), (201, " ".join(crowd[:3])), (202, None), (203, " ".join(crowd[:50] + words[:9]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in neardup.clusters(docs).collect()}
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
-    label = dict.fromkeys(sets)
-    for i in sorted(sets):
-        near = [label[j] for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
-        low = min([*near, i])
-        for j, v in label.items():
-            if v in near:
-                label[j] = low
-        label[i] = low
-    assert got == label
+    assert got == labels(rows)
 
 
 def test_decontamination(docs, spark):
