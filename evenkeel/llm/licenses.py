@@ -6,19 +6,23 @@ every T // 8. A window that holds NEED / OF of the template has a similarity of
 at least 0.75 / (1.25 + 0.25) = 0.5 with it, less what falls between two starts
 (0.44 at worst). BANDS bands of one row each then miss it with probability under
 (1 - 0.44)^24 < 1e-6. Minima of all windows come from one table of minima over
-powers of two. A window that shares a band with a template is verified: every
-window in its reach is compared shingle by shingle, and the largest share of the
-template's distinct shingles in any of them is its containment.
-
-The templates are a fixed list (notices, and the full texts in license_texts), so
-what tasks carry has a fixed size. Before the bands, a template is left out of a
-text that doesn't have NEED / OF of its shingles anywhere, which loses nothing. Of
-matches of different licenses that share half of the smaller one's places, the
-one with the highest containment stays, and of equal ones the longest.
+powers of two. A window that shares a band with a template is verified: the
+distinct shingles that each window in its reach shares with the template are
+counted, all windows in one sweep, and their share is its containment. Of windows
+of a template that overlap and reach NEED / OF the best stays (the first of
+equals), so every occurrence is a match of its own.
+
+The templates are a table (license_id, text) of bounded size that tasks carry; by
+default notices and the full texts in license_texts. Before the bands, a template
+is left out of a text that doesn't have NEED / OF of its shingles anywhere, which
+loses nothing. Of matches of different licenses that share half of the smaller
+one's places, the one with the highest containment stays, and of equal ones the
+longest, then the one listed first.
 
 Defined results: null or wordless text has no licenses. A text shorter than the
-window is one window. Every row is judged by itself, so null or repeated doc_ids
-do no harm. Other columns are ignored. An empty table gives no rows.
+window is one window; a text of any length is scanned whole. Every row is judged
+by itself, so null or repeated doc_ids do no harm. Templates without a word or an
+id are left out. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -106,26 +110,48 @@ class Template:
         self.window, self.stride = n + n // 4, max(1, n // 8)
         self.minima = _rows(self.runs).min(axis=1)
 
-    def containment(self, runs: np.ndarray, starts: np.ndarray) -> tuple[int, int, np.ndarray]:
-        """The most distinct shingles that a window near one of the starts shares, the first such window's start, and their places."""
+    def occurrences(self, runs: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """Windows near one of the starts that hold NEED / OF of the template: first shingle, distinct shingles, their places.
+
+        The best window of a stretch of text is an occurrence, up to the last shingle that it needs; then the stretches on both sides of it are searched.
+        """
         at = np.searchsorted(self.runs, runs)
         at[at == len(self.runs)] = 0
         hit = np.flatnonzero(self.runs[at] == runs)
-        best, where, places = 0, 0, hit[:0]
-        last = max(0, len(runs) - self.window)
-        # a best window can be moved to begin at a shingle of the template
-        for start in hit:
-            near = starts[(starts >= start - self.window - self.stride) & (starts <= start + self.window + self.stride)]
-            if not len(near):
+        out = []
+        open_ = [x for x in np.split(hit, np.flatnonzero(np.diff(hit) >= self.window) + 1)]
+        while open_:
+            places = open_.pop()
+            if OF * len(places) < NEED * len(self.runs):
                 continue
-            low = min(int(start), last)
-            inside = hit[np.searchsorted(hit, low) : np.searchsorted(hit, low + self.window)]
-            if len(inside) <= best:
+            lows, shared = self._shared(places, at[places], starts)
+            if not len(lows) or OF * shared.max() < NEED * len(self.runs):
                 continue
-            shared = len(np.unique(at[inside]))
-            if shared > best:
-                best, where, places = shared, low, inside
-        return best, where, places
+            low = lows[shared.argmax()]
+            inside = places[np.searchsorted(places, low) : np.searchsorted(places, low + self.window)]
+            _, new = np.unique(at[inside], return_index=True)
+            inside = inside[: new.max() + 1]
+            out.append((int(low), len(new), inside))
+            open_ += [places[places < low], places[places > inside[-1]]]
+        return sorted(out, key=lambda x: x[0])
+
+    def _shared(self, places: np.ndarray, values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that begin at one of the places, near a start, and the distinct values in each, in one sweep."""
+        reach = self.window + self.stride
+        lows = places[np.searchsorted(starts, places + reach, side="right") > np.searchsorted(starts, places - reach)]
+        first, last = np.searchsorted(places, lows), np.searchsorted(places, lows + self.window)
+        # a place counts in the windows that hold it, but not the place before it with the same value
+        k, by = np.arange(len(places)), np.argsort(values, kind="stable")
+        before = np.full(len(places), -1)
+        same = np.flatnonzero(values[by][1:] == values[by][:-1])
+        before[by[same + 1]] = by[same]
+        low = np.maximum(np.searchsorted(first, before + 1), np.searchsorted(last, k, side="right"))
+        high = np.searchsorted(first, k, side="right")
+        change = np.zeros(len(lows) + 1, np.int64)
+        counted = low < high
+        np.add.at(change, low[counted], 1)
+        np.add.at(change, high[counted], -1)
+        return lows, np.cumsum(change[:-1])
 
 
 class Known(list):
@@ -150,17 +176,38 @@ class Known(list):
         return flags
 
 
-def templates() -> Known:
+MOST_TEMPLATES, MOST_BYTES = 5_000, 16 << 20
+
+
+def builtin() -> list[tuple[str, str]]:
+    """Identifier and text of the notices and full texts that are known by default."""
     full = [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")]
-    return Known([Template(name, text) for name, text in [*((n, x) for n, texts in TEMPLATES.items() for x in texts), *full]])
+    return [*((n, x) for n, texts in TEMPLATES.items() for x in texts), *full]
+
+
+def collected(table: DataFrame) -> list[tuple[str, str]]:
+    """The rows of a template table (license_id, text), within MOST_TEMPLATES and MOST_BYTES."""
+    rows = table.select(F.col("license_id").cast("string"), F.col("text").cast("string")).dropna()
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    if n > MOST_TEMPLATES or (size or 0) > MOST_BYTES:
+        raise ValueError(f"tasks carry at most {MOST_TEMPLATES} templates and {MOST_BYTES} bytes of them")
+    return sorted(map(tuple, rows.collect()))
+
 
+def templates(texts: list[tuple[str, str]] | None = None) -> Known:
+    return Known([Template(name, text) for name, text in (builtin() if texts is None else texts) if words_of(text)])
 
-def strongest(found: list[tuple[str, int, float, np.ndarray]]) -> list[tuple[str, int, float]]:
+
+Match = tuple[str, int, float]
+
+
+def strongest(found: list[tuple[str, int, float, np.ndarray]]) -> list[Match]:
     """The matches that no stronger match of another license takes the places of, in the given order."""
     kept: list[int] = []
     for i in sorted(range(len(found)), key=lambda i: (-found[i][2], -len(found[i][3]), i)):
         name, _, _, places = found[i]
-        if all(found[k][0] == name or 2 * len(np.intersect1d(found[k][3], places)) < min(len(found[k][3]), len(places)) for k in kept):
+        beside = [found[k][3] for k in kept if found[k][0] != name and found[k][3][0] <= places[-1] and places[0] <= found[k][3][-1]]
+        if all(2 * len(np.intersect1d(x, places)) < min(len(x), len(places)) for x in beside):
             kept.append(i)
     return [found[i][:3] for i in sorted(kept)]
 
@@ -175,8 +222,8 @@ def window_minima(levels: list[np.ndarray], n: int, window: int, stride: int) ->
     return starts, np.minimum(levels[k][:, starts], levels[k][:, starts + size - (1 << k)])
 
 
-def matches(text: str | None, known: Known) -> tuple[int, list[tuple[str, int, float]]]:
-    """The number of words, and (license, first word, containment) of the best window for each template that is found."""
+def matches(text: str | None, known: Known) -> tuple[int, list[Match]]:
+    """The number of words, and (license, first word, containment) of every match."""
     words = words_of(text)
     if not words:
         return 0, []
@@ -207,27 +254,32 @@ def matches(text: str | None, known: Known) -> tuple[int, list[tuple[str, int, f
         shared = (least == template.minima[:, None]).any(axis=0)
         if not shared.any():
             continue
-        best, where, places = template.containment(runs, starts[shared])
-        if OF * best >= NEED * len(template.runs):
-            found.append((template.license_id, where, best / len(template.runs), places))
+        found += [(template.license_id, low, n / len(template.runs), places) for low, n, places in template.occurrences(runs, starts[shared])]
     return len(words), strongest(found)
 
 
-def _scan(batches):
-    caches.claim("words")
-    known = templates()
+FOUND = "doc_id long, n_words long, matches array<struct<license:string,first_word:long,containment:double>>"
+
+
+def _scan(texts: list[tuple[str, str]]):
     kind = pa.list_(pa.struct([("license", pa.string()), ("first_word", pa.int64()), ("containment", pa.float64())]))
-    for whole in batches:
-        for batch in _blocks(whole):
-            rows = [matches(t, known) for t in batch.column("text").to_pylist()]
-            spans = [[{"license": a, "first_word": int(b), "containment": float(c)} for a, b, c in f] for _, f in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), pa.array(spans, kind)], names=["doc_id", "n_words", "matches"])
+
+    def run(batches):
+        caches.claim("words")
+        known = templates(texts)
+        for whole in batches:
+            for batch in _blocks(whole):
+                rows = [matches(t, known) for t in batch.column("text").to_pylist()] if known else [(len(words_of(t)), []) for t in batch.column("text").to_pylist()]
+                spans = [[{"license": a, "first_word": int(b), "containment": float(c)} for a, b, c in f] for _, f in rows]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), pa.array(spans, kind)], names=["doc_id", "n_words", "matches"])
+
+    return run
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and matches (license, first_word, containment) of each row."""
+def scan(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words and matches (license, first_word, containment) of each row, by the templates of a table or those known by default."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return store.written(rows.mapInArrow(_scan, "doc_id long, n_words long, matches array<struct<license:string,first_word:long,containment:double>>"), "licenses")
+    return store.written(rows.mapInArrow(_scan(builtin() if table is None else collected(table)), FOUND), "licenses")
 
 
 def digest(docs: DataFrame) -> DataFrame:
