@@ -6,7 +6,10 @@ magic in its range, validates each candidate by inflating its head and parsing
 the record's header, and owns the records that start inside its range; it reads
 past the end of the range only to finish the last of them. A candidate inside
 compressed data fails validation, and after a valid record the search goes on at
-the record's end.
+the record's end. What no reader of ranges can tell apart is a whole gzipped WARC
+record that another record holds uncompressed (deflate stores what it can't
+shrink), where a range begins between the two starts; this writer's payloads are
+UTF-8, in which the magic can't occur.
 
 Of pages with equal payloads of MIN_REVISIT bytes or more, the smallest page_id
 is written as a response and the others as revisits that name it and carry the
@@ -14,8 +17,10 @@ payload's digest and length.
 
 Defined results: null html is an empty payload; a null page_id is kept, sorts
 before all others and is written as an empty id; rows that repeat a page_id are
-records of their own: one row holds the payload, the others revisit it. Other
-columns are ignored. An empty table writes no archives and reads as no rows.
+records of their own: one row with the smallest url (null first) holds the
+payload, the others revisit it. A url of any length is kept (white space in it
+becomes a blank). Other columns are ignored. An empty table writes no archives
+and reads as no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
@@ -96,10 +101,16 @@ def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     is_first = F.col("page_id").eqNullSafe(F.col("first_id"))
     columns = ["page_id", "url", "html", "digest", "size", "first_id"]
     once = joined.where(~again | ~is_first | (F.col("twins") == 1)).select(*columns, F.when(again, ~is_first).otherwise(F.lit(False)).alias("revisit"))
-    # of rows that repeat the smallest page_id one holds the payload
-    rank = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("url").asc_nulls_first()))
-    twice = joined.where(again & is_first & (F.col("twins") > 1)).select(*columns, (rank > 1).alias("revisit"))
-    return once.unionByName(twice)
+    # of rows that repeat the smallest page_id one holds the payload; only their numbers and urls are gathered
+    twice = joined.where(again & is_first & (F.col("twins") > 1))
+    same = twice.groupBy("page_id", "url", "digest", "size", "first_id").agg(F.count(F.lit(1)).alias("rows"))
+    holder = same.groupBy(F.col("digest").alias("held")).agg(F.min(F.struct(F.col("url").isNotNull().alias("has"), "url")).alias("holder"))
+    each = same.join(holder, F.col("digest") == F.col("held")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    marked = each.withColumn("revisit", (F.col("nth") > 1) | ~F.col("url").eqNullSafe(F.col("holder.url")))
+    texts = twice.groupBy(F.col("digest").alias("of")).agg(F.min("html").alias("html"))
+    with_text = marked.where(~F.col("revisit")).join(texts, F.col("digest") == F.col("of")).select(*columns, "revisit")
+    without = marked.where("revisit").withColumn("html", F.lit(None).cast("string")).select(*columns, "revisit")
+    return once.unionByName(with_text).unionByName(without)
 
 
 def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE) -> DataFrame:
@@ -154,7 +165,7 @@ def _headers(head: bytes) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if fields.get("content-length", "").isdigit() and "warc-type" in fields else None
 
 
-class Window_:
+class Chunks:
     """Bytes of an open file from any position on, read in chunks and let go as the scan moves."""
 
     def __init__(self, source, size: int):
@@ -167,7 +178,7 @@ class Window_:
         return self.held[at - self.low : at - self.low + n]
 
 
-def _member(bytes_: Window_, at: int):
+def _member(bytes_: Chunks, at: int):
     """Yields the inflated bytes of the gzip member at `at`, then its end; raises zlib.error where there is none."""
     packer, here = zlib.decompressobj(31), at
     while not packer.eof:
@@ -179,7 +190,7 @@ def _member(bytes_: Window_, at: int):
     yield b"", here - len(packer.unused_data)
 
 
-def _valid(bytes_: Window_, at: int):
+def _valid(bytes_: Chunks, at: int):
     """The record that begins at `at`: fields, content, end; None if no record begins there."""
     try:
         parts = _member(bytes_, at)
@@ -206,7 +217,7 @@ def _valid(bytes_: Window_, at: int):
 
 def records_in(source, size: int, low: int, high: int):
     """Fields and content of the records that start in [low, high) of a file."""
-    bytes_, at = Window_(source, size), low
+    bytes_, at = Chunks(source, size), low
     while at < high:
         # candidates must start before `high`; their magic may end after it
         block = bytes_.take(at, min(CHUNK, high - at + len(MAGIC) - 1))
