@@ -75,6 +75,50 @@ def test_packing_is_close_to_the_bound():
     assert (offset + sizes <= 2048).all()
 
 
+def test_each_piece_goes_where_the_sum_of_squares_is_least():
+    rng = np.random.default_rng(3)
+    for capacity in (7, 20, 60):
+        sizes = rng.integers(1, capacity + 1, 300)
+        number, offset = packing.sum_of_squares(sizes, capacity)
+        gaps: dict = {}
+        for size, n, low in zip(sizes.tolist(), number.tolist(), offset.tolist()):
+            squares = lambda moved: sum(c * c for c in Counter(g for g in {**gaps, **moved}.values() if g).values())
+            fitting = {g: k for k, g in gaps.items() if g >= size}
+            if fitting:
+                best = min(squares({k: g - size}) for g, k in fitting.items())
+                assert gaps[n] >= size and squares({n: gaps[n] - size}) == best
+            else:
+                assert n not in gaps
+            assert low == capacity - gaps.get(n, capacity)
+            gaps[n] = gaps.get(n, capacity) - size
+
+
+def test_a_few_documents_are_read_by_their_pages(spark):
+    from evenkeel.llm import store
+
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: (i * F.col("id")).cast("string"))).alias("text"))
+    path = store.new_path(spark, "tokens")
+    token_files.write(docs.coalesce(1), path, vocabulary())
+    found = token_files.select_documents(spark, path, [7, 3_999])
+    rows = {r["doc_id"]: (r["n_tokens"], len(r["ids"])) for r in found.collect()}
+    assert set(rows) == {7, 3_999} and all(n == m for n, m in rows.values())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(doc_id" in plan
+    every = token_files.read(spark, path, with_ids=False)
+    assert "ids" not in every._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files = [f for f in glob.glob(f"{path.removeprefix('file:')}/*.parquet")]
+    meta = [pq.ParquetFile(f).metadata for f in files]
+    columns = [m.row_group(g).column(c) for m in meta for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    assert columns and all(c.has_offset_index and c.has_column_index for c in columns)
+    ids = [c for c in columns if c.path_in_schema.startswith("ids")]
+    assert all(any("DICTIONARY" in e or "DELTA" in e for e in c.encodings) for c in ids)
+    assert all(any("DELTA" in e for e in c.encodings) for c in columns if c.path_in_schema == "local_start")
+
+
 def test_near_duplicates(docs):
     got = {r["doc_id"]: r for r in neardup.clusters(docs).collect()}
     assert got[2]["component_id"] == 1 and not got[2]["kept"]

@@ -35,6 +35,15 @@ def test_repeated_rows_hold_one_payload(spark):
     assert kinds == [("revisit", 1)] * 2 and read.count() == 3
 
 
+def test_repeated_rows_in_one_large_group(spark):
+    html = "w" * 120
+    pages = [(None, None, html)] * 3 + [(None, "u", html)] * 200 + [(5, "v", html)] * 40 + [(7, "x", None), (7, "x", "")]
+    _, read = rows(spark, pages)
+    got = [(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["url"]) for r in read.collect()]
+    assert len(got) == len(pages) and [g for g in got if g[1] == "response" and g[3]] == [(None, "response", None, 120, None)]
+    assert sum(g[0] == 5 and g[1] == "revisit" for g in got) == 40 and sum(g[4] == "u" for g in got) == 200
+
+
 def test_every_range_size_reads_each_record_once(spark):
     rng = random.Random(5)
     # payloads that hold the magic themselves, and a long one that passes many ranges
