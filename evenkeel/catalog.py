@@ -231,34 +231,6 @@ def interval_sampling(spark, d):
     return found.agg(F.sum(F.expr("begin_recs + mid_recs + end_recs")).alias("records"), F.sum(F.expr("begin_bytes + mid_bytes + end_bytes")).alias("bytes"))
 
 
-@query()
-def interval_alignment(spark, d):
-    """Aligned key partitions of two overlapping runs of orders (driver-side; tests hold it against a worked example)."""
-    runs = []
-    for half in (0, 1):
-        rows = t(spark, d, "orders").where(F.col("o_orderkey") % 2 == half)
-        runs += [intervals.Interval(*r) for r in intervals.sample_keys(statistics.key_histogram(rows, ["o_custkey"], fx.record_bytes("o_orderkey", "o_custkey")), "o_custkey", 4096, start=1024).collect()]
-    parts = [(str(p.min_key), str(p.max_key), p.min_excl, p.max_excl, p.num_keys, p.num_recs, p.tot_bytes) for p in intervals.align(runs)]
-    return spark.createDataFrame(parts, "min_key string, max_key string, min_excl boolean, max_excl boolean, num_keys long, num_recs long, tot_bytes long")
-
-
-@query()
-def record_intervals(spark, d):
-    """Slices of the documents as records at byte offsets, cut only after splitable ones (every third is)."""
-    import pandas as pd
-
-    def run(batches):
-        offset, rows = 0, []
-        for pdf in batches:
-            for doc, size in zip(pdf["doc_id"], pdf["size"]):
-                rows.append((offset, int(size), doc % 3 == 0))
-                offset += int(size)
-        yield pd.DataFrame([vars(s) for s in intervals.RecordPool(1 << 18).slices(rows)], columns=["offset", "last_offset", "num_recs"])
-
-    sized = t(spark, d, "documents").select("doc_id", fx.record_bytes("text").alias("size"), F.pmod(F.hash("source"), F.lit(8)).alias("split"))
-    return sized.repartition("split").sortWithinPartitions("split", "doc_id").mapInPandas(run, "offset long, last_offset long, num_recs long")
-
-
 # ------------------------------------------------------------ samplers
 
 
@@ -273,11 +245,6 @@ def interval_sampler(spark, d):
     return samplers.interval_sample(rows, ["split"], ["o_orderkey"], 1, 8).select("o_orderkey")
 
 
-@query()
-def random_sampler(spark, d):
-    return samplers.random_sample(t(spark, d, "orders").select("o_orderkey"), 0.1, 1000, seed=7)
-
-
 @query("""
     WITH s AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders WHERE o_orderkey % 16 = 0)
     SELECT CAST(k AS INTEGER) AS part, o_custkey AS point FROM s, range(1, 8) AS r(k) WHERE i = CAST(floor(n * k / 8.0 + 0.5) AS BIGINT)
@@ -398,18 +365,6 @@ def resume_from_key(spark, d):
     return reactive.resumed(done, rows, "l_partkey", 120, sums)
 
 
-@query()
-def plan_strategies(spark, d):
-    """Ranges of every strategy over byte statistics of documents by source (driver-side; tests hold the rules)."""
-    rows = statistics.key_histogram(t(spark, d, "documents"), ["source"], fx.record_bytes("text")).orderBy("source").collect()
-    parts, slots = [planner.Part(r["bytes"], r["records"]) for r in rows], [0.0, 0.0, 0.0, 0.05]
-    out = []
-    for name in planner.STRATEGIES:
-        made = planner.plan(parts, slots, name, 1e-6, cost.LinearCost(1e-6, 1e-4, 0.0, 0.01), 4)
-        out += [(name, i, r.start, r.end, r.bytes, r.time, made.order.index(i)) for i, r in enumerate(made.ranges)]
-    return spark.createDataFrame(out, "strategy string, range int, first int, last int, bytes long, seconds double, place int")
-
-
 # ------------------------------------------------------------ progress and stragglers
 
 STATUS_SQL = """
@@ -573,3 +528,6 @@ def ext_reduce_side_join(spark, d):
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def ext_cube(spark, d):
     return t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import catalog_rules, catalog_sources  # noqa: E402, F401 - they register queries of their own

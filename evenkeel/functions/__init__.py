@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,6 +83,27 @@ def probabilities_from_logs(logs: list[float]) -> list[float]:
     return normalized([math.exp(v - top) for v in logs])
 
 
+def normalized_array(values: Column) -> Column:
+    """Shares of an array's numbers; null where they sum to nothing."""
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(values, lambda x: F.try_divide(x.cast("double"), total))
+
+
+def arg_max_array(values: Column) -> Column:
+    """The place (from 0) of an array's largest number, the first of equals."""
+    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+
+
+def probabilities_from_logs_array(logs: Column) -> Column:
+    return normalized_array(F.transform(logs, lambda x: F.exp(x - F.array_max(logs))))
+
+
+def exact_mean(column: Column, digits: int = 9) -> Column:
+    """The mean of exact decimal sums: what compensated summation comes near to, in any order of the rows; 0 when empty."""
+    total = F.sum(column.cast(f"decimal(28,{digits})")).cast("double")
+    return F.coalesce(F.try_divide(total, F.count(column)), F.lit(0.0))
+
+
 def mean_or_zero(column: Column) -> Column:
     return F.coalesce(F.avg(column), F.lit(0.0))
 
@@ -95,6 +118,45 @@ def last_rows(df: DataFrame, partition: list[str], order: list[str], n: int) ->
     return df.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
 
 
+def weighted_last_rows(df: DataFrame, partition: list[str], order: list[str], n: int, value: str, weight: str) -> DataFrame:
+    """What a circular buffer of weighted items holds: items, their weights' sum, and their weighted mean."""
+    held = last_rows(df, partition, order, n)
+    total = F.sum(weight)
+    return held.groupBy(*partition).agg(F.count(F.lit(1)).alias("items"), total.alias("weight"), F.try_divide(F.sum(F.col(value) * F.col(weight)), total).alias("mean"))
+
+
+class DrainingQueue:
+    """A priority queue that may be added to while it is read; reading takes its items away."""
+
+    def __init__(self, items: Iterable = ()):
+        self.heap = list(items)
+        heapq.heapify(self.heap)
+
+    def add(self, *items) -> None:
+        for x in items:
+            heapq.heappush(self.heap, x)
+
+    def __iter__(self) -> Iterator:
+        while self.heap:
+            yield heapq.heappop(self.heap)
+
+    def take(self, n: int) -> list:
+        return [heapq.heappop(self.heap) for _ in range(min(n, len(self.heap)))]
+
+    def take_while(self, test: Callable) -> list:
+        """Items from the head on as long as the head passes: a prefix, not a filter."""
+        out = []
+        while self.heap and test(self.heap[0]):
+            out.append(heapq.heappop(self.heap))
+        return out
+
+
+def head_while(df: DataFrame, stream: list[str], order: list[Column], test: Column) -> DataFrame:
+    """The same over sorted streams: the rows of each stream before the first that fails the test."""
+    w = Window.partitionBy(*stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("_failed", F.max((~F.coalesce(test, F.lit(False))).cast("int")).over(w)).where("_failed = 0").drop("_failed")
+
+
 def _is_prime(n: int) -> bool:
     """Miller-Rabin with bases that decide every n below 3.3e24."""
     if n < 2:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +25,30 @@ def kept_and_skipped(df: DataFrame, test: Column) -> DataFrame:
     return df.agg(F.count_if(test).alias("kept"), F.count_if(~F.coalesce(test, F.lit(False))).alias("skipped"))
 
 
+@dataclass(frozen=True)
+class Options:
+    """How a job may be handled: whether maps and reduces are planned by skew, in how many parts, and by which strategy."""
+
+    map_skew: bool = True
+    reduce_skew: bool = True
+    strategy: str = "LINEAR"
+    parts: int = 4
+    split_all: bool = False
+
+
+class Submitted:
+    """A job that runs beside the caller; it can be waited for and killed."""
+
+    def __init__(self, future: Future, spark, tag: str):
+        self.future, self.spark, self.tag = future, spark, tag
+
+    def result(self, timeout: float | None = None):
+        return self.future.result(timeout)
+
+    def kill(self) -> None:
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+
 @dataclass
 class Job:
     """A map / combine / partition / sort / group / reduce job, declared.
@@ -42,6 +68,27 @@ class Job:
     reducer_schema: str = ""
     partition: Column | None = None
     partitions: int | None = None
+    options: Options = Options()
+
+    def submit(self, df: DataFrame, action: Callable[[DataFrame], object]) -> Submitted:
+        """Run the job in a thread of its own; `action` says what becomes of its result."""
+        spark, tag = df.sparkSession, f"evenkeel-{uuid.uuid4().hex}"
+
+        def work():
+            spark.sparkContext.addJobTag(tag)
+            return action(self.run(df))
+
+        pool = ThreadPoolExecutor(1)
+        future = pool.submit(work)
+        pool.shutdown(wait=False)
+        return Submitted(future, spark, tag)
+
+    def split(self, df: DataFrame, rec_bytes: Column, parts: int | None = None) -> DataFrame:
+        """Run a job with one group column in `parts` planned ranges, whether it is skewed or not."""
+        from ..plans.reactive import aggregate
+
+        (key,) = self.group
+        return aggregate(self.mapper(df), key, self.reduce, rec_bytes, [0.0] * (parts or self.options.parts), self.options.strategy)
 
     def run(self, df: DataFrame) -> DataFrame:
         rows = self.mapper(df)
@@ -97,6 +144,13 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def sorted_by_partition(df: DataFrame, pid: Column, n: int, order: list[Column | str]) -> DataFrame:
+    """What a map task hands over: rows in the partition that `pid` names, sorted within it. Of a part of the rows too: with the same `pid` and n the parts fit together."""
+    from .partitioners import place
+
+    return place(df, pid, n).sortWithinPartitions("pid", *order)
+
+
 def cogrouped(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """A reduce-side join's input: both sides in one stream with a tag, sorted by key and tag (an extension)."""
     tagged = left.withColumn("tag", F.lit(0)).unionByName(right.withColumn("tag", F.lit(1)), allowMissingColumns=True)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 INTERVALS = "begin {key}, begin_recs long, begin_bytes long, mid_keys long, mid_recs long, mid_bytes long, end {key}, end_recs long, end_bytes long"
 
@@ -148,6 +149,39 @@ def sample_keys(histogram: DataFrame, key: str, target: int, least: int = 10, st
     return runs.mapInPandas(run, INTERVALS.format(key=kind))
 
 
+def sample_runs(df: DataFrame, run: str, key: str, target: int, least: int = 10, start: int = 8192) -> DataFrame:
+    """The same for runs that exist already, such as map outputs: rows (run, key, records, bytes), a run in one task, any number of runs in it."""
+    kind, run_kind = (df.schema[c].dataType.simpleString() for c in (key, run))
+
+    def each(batches):
+        pool, now, out = KeyPool(target, least, start), None, []
+        for pdf in batches:
+            for r, k, n, b in zip(pdf[run], pdf[key], pdf["records"], pdf["bytes"]):
+                if now is not None and r != now:
+                    out += [(now, x) for x in pool.finish()]
+                now = r
+                out += [(r, x) for x in pool.add(k, int(n), int(b))]
+            if len(out) > 10_000:
+                yield pd.DataFrame([{run: r} | vars(x) for r, x in out])
+                out = []
+        if now is not None:
+            out += [(now, x) for x in pool.finish()]
+        if out:
+            yield pd.DataFrame([{run: r} | vars(x) for r, x in out])
+
+    dealt = df.select(run, key, "records", "bytes").repartition(run).sortWithinPartitions(run, key)
+    return dealt.mapInPandas(each, f"{run} {run_kind}, " + INTERVALS.format(key=kind))
+
+
+def closed_ranges(intervals: DataFrame) -> DataFrame:
+    """A local scan's output: each interval as a range that holds both its ends, with all its keys, records and bytes."""
+    one = F.col("end").isNull()
+    total = lambda c: (F.col(f"begin_{c}") + F.col(f"mid_{c}") + F.coalesce(F.col(f"end_{c}"), F.lit(0))).cast("long")
+    keys = (1 + F.col("mid_keys") + F.when(one, 0).otherwise(1)).cast("long")
+    kept = [c for c in intervals.columns if c not in INTERVALS.replace(" {key}", " long").replace(",", " ").split()]
+    return intervals.select(*kept, F.col("begin").alias("min_key"), F.coalesce("end", "begin").alias("max_key"), keys.alias("num_keys"), total("recs").alias("num_recs"), total("bytes").alias("tot_bytes"))
+
+
 @dataclass(frozen=True)
 class KeyPartition:
     min_key: object

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame
@@ -20,13 +22,39 @@ def _mapped(index: Column, mapping: list[int] | None) -> Column:
     return index if mapping is None else F.element_at(F.array(*[F.lit(int(m)) for m in mapping]), index + 1)
 
 
+#: More bounds than this are looked up by halves.
+SCANNED = 12
+
+
 def range_id(key: Column, bounds: list, exclude: set[int] | frozenset[int] = frozenset(), mapping: list[int] | None = None) -> Column:
     """The place of key among ascending bounds; an equal key goes right of its bound unless the bound is excluded."""
-    bins = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i in exclude).alias("x")) for i, b in enumerate(bounds)])
-    index = F.size(F.filter(bins, lambda e: (e["b"] < key) | ((e["b"] == key) & ~e["x"]))) if bounds else F.lit(0)
+    right = lambda i: key > F.lit(bounds[i]) if i in exclude else key >= F.lit(bounds[i])
+
+    def among(low: int, high: int) -> Column:
+        """The place of a key that lies right of bound low - 1 and left of bound high."""
+        if high - low <= SCANNED:
+            out = F.lit(low)
+            for i in range(low, high):
+                out = out + right(i).cast("int")
+            return out
+        middle = (low + high) // 2
+        return F.when(right(middle), among(middle + 1, high)).otherwise(among(low, middle))
+
+    index = F.when(key.isNull(), 0).otherwise(among(0, len(bounds)))
     return _mapped(index.cast("int"), mapping)
 
 
+def encoded_buckets(bounds: list[bytes], exclude: set[int], mapping: list[int]) -> str:
+    """Range buckets as text for a job's configuration."""
+    held = {"bounds": [base64.b64encode(b).decode() for b in bounds], "exclude": sorted(exclude), "mapping": mapping}
+    return base64.b64encode(json.dumps(held).encode()).decode()
+
+
+def decoded_buckets(text: str) -> tuple[list[bytes], set[int], list[int]]:
+    held = json.loads(base64.b64decode(text))
+    return [base64.b64decode(b) for b in held["bounds"]], set(held["exclude"]), held["mapping"]
+
+
 def range_index(key, bounds: list, exclude: set[int] | frozenset[int] = frozenset()) -> int:
     """The same on the driver."""
     place_ = bisect_right(bounds, key)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +23,49 @@ def split_sample(df: DataFrame, split: Column, order: list[str], samples: int, s
     return rows.join(chosen, "_split").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(1, samples // taken)).drop("_split", "_n")
 
 
-def random_sample(df: DataFrame, frequency: float, samples: int, seed: int = 0) -> DataFrame:
-    """A Bernoulli sample of at most `samples` rows, chosen by random keys."""
-    return df.sample(withReplacement=False, fraction=frequency, seed=seed).orderBy(F.rand(seed)).limit(samples)
+class Reservoir:
+    """A sample of at most n items by a falling rate.
+
+    An item is chosen while its random number is at most the rate. Beyond n items a chosen one replaces a random one,
+    and the rate falls by (n - 1) / n, since those in the sample may be pushed out.
+    """
+
+    def __init__(self, rate: float, n: int):
+        self.rate, self.n, self.items = rate, n, []
+
+    def offer(self, item, chance: float, place: int) -> None:
+        """chance in [0, 1); place is a random number below n."""
+        if chance > self.rate:
+            return
+        if len(self.items) < self.n:
+            self.items.append(item)
+        else:
+            self.items[place] = item
+            self.rate *= (self.n - 1) / self.n
+
+
+def random_sample(df: DataFrame, key: str, split: Column, chance: Column, place: Column, order: list[str], rate: float, n: int, splits: int) -> DataFrame:
+    """A reservoir over shuffled splits: (split, key) of the sampled rows.
+
+    Splits are taken in the order of a hash, `splits` of them, and further ones only until n rows would be chosen. Rows
+    that the first rate leaves out never leave their tasks; the reservoir sees the others in order, in one task, as its
+    rate depends on all that came before. chance in [0, 1) and place below n are the rows' random numbers.
+    """
+    rows = df.select(split.alias("split"), F.col(key), chance.cast("double").alias("chance"), place.cast("int").alias("place"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]).where(F.col("chance") <= rate)
+    counts = rows.groupBy("split").agg(F.count(F.lit(1)).alias("chosen")).withColumn("turn", F.row_number().over(Window.orderBy(F.pmod(F.col("split") * 7_919, F.lit(104_729)), "split")))
+    before = F.coalesce(F.sum("chosen").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = counts.withColumn("before", before).where((F.col("turn") <= splits) | (F.col("before") < n)).select("split", "turn")
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        held = Reservoir(rate, n)
+        for pdf in batches:
+            for s, k, c, p in zip(pdf["split"], pdf[key], pdf["chance"], pdf["place"]):
+                held.offer((s, k), c, p)
+        yield pd.DataFrame(held.items, columns=["split", key])
+
+    dealt = rows.join(F.broadcast(taken), "split").repartition(1).sortWithinPartitions("turn", *[f"_o{i}" for i in range(len(order))])
+    return dealt.select("split", key, "chance", "place").mapInPandas(run, f"split long, {key} {kind}")
 
 
 def interval_kept(i: Column, numerator: int, denominator: int) -> Column:

@@ -41,3 +41,22 @@ def byte_buckets(histogram: DataFrame, key: str, target: int) -> DataFrame:
 def merge_intervals(intervals: DataFrame) -> DataFrame:
     """Equal (begin, end) from several runs: records and bytes add up, distinct middle keys are the largest count."""
     return intervals.groupBy("begin", "end").agg(*[F.sum(c).cast("long").alias(c) for c in ("begin_recs", "begin_bytes", "mid_recs", "mid_bytes", "end_recs", "end_bytes")], F.max("mid_keys").cast("long").alias("mid_keys"))
+
+
+def merge_less_than(summaries: DataFrame, key: str, lt_keys: str = "max") -> DataFrame:
+    """Less-than-key summaries of several runs as one: what lies below a key adds up.
+
+    Distinct keys below can't be told from the runs' counts: the largest is a lower bound, the sum an upper one.
+    """
+    distinct = {"max": F.max, "sum": F.sum}[lt_keys]("lt_keys")
+    return summaries.groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in ("records", "bytes", "lt_records", "lt_bytes")], distinct.cast("long").alias("lt_keys"))
+
+
+def sampled_key_counts(df: DataFrame, key: str, kept: Column) -> DataFrame:
+    """Rows that pass a Bernoulli test, counted by key; the test decides before the shuffle."""
+    return df.where(kept).groupBy(key).agg(F.count(F.lit(1)).alias("sampled"))
+
+
+def bernoulli(column: Column, seed: int, per_mille: int) -> Column:
+    """A repeatable test of a whole number that some per mille of the numbers pass: a linear congruence of the number and the seed."""
+    return F.pmod(F.pmod(column, F.lit(1_000_003)) * F.lit(48_271) + F.lit(seed), F.lit(1_000_003)) % 1000 < per_mille

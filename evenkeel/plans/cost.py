@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,7 +88,43 @@ def fit(df: DataFrame, y: str, xs: list[str]) -> list[float]:
 COST_LOG = "tracker string, job string, type string, task string, seconds double, bytes long, records long, key_groups long, class string"
 
 
+def parse_cost_log(lines: DataFrame) -> DataFrame:
+    """The fields of a cost log's lines (`value`), beside the lines' other columns."""
+    fields = [x.split() for x in COST_LOG.split(", ")]
+    cells = F.split("value", ",", -1)
+    return lines.select(*[c for c in lines.columns if c != "value"], *[F.get(cells, i).try_cast(kind).alias(name) for i, (name, kind) in enumerate(fields)])
+
+
+def observations(log: DataFrame) -> DataFrame:
+    """Those with something processed; reduce rows need groups too."""
+    return log.where("bytes > 0 and records > 0 and (type <> 'r' or key_groups > 0)")
+
+
 def read_cost_log(spark, path: str) -> DataFrame:
-    """Observations with something processed; reduce rows need groups too."""
-    rows = spark.read.schema(COST_LOG).csv(path)
-    return rows.where("bytes > 0 and records > 0 and (type <> 'r' or key_groups > 0)")
+    return observations(spark.read.schema(COST_LOG).csv(path))
+
+
+def two_slopes(y: Column, a: Column, b: Column) -> list[Column]:
+    """Intercept and both slopes of y over two regressors as aggregates, in one pass; null where the regressors depend on each other."""
+    aa, bb, ab = F.var_pop(a), F.var_pop(b), F.covar_pop(a, b)
+    ay, by = F.covar_pop(a, y), F.covar_pop(b, y)
+    whole = aa * bb - ab * ab
+    first, second = F.try_divide(ay * bb - by * ab, whole), F.try_divide(by * aa - ay * ab, whole)
+    return [F.avg(y) - first * F.avg(a) - second * F.avg(b), first, second]
+
+
+def log_runs(log: DataFrame, place: str) -> DataFrame:
+    """A cost log with a `run` for each stretch of one class: a model is fitted to a stretch, as a class that comes back is new.
+
+    The log's lines are dealt by tracker; `place` orders them.
+    """
+    w = Window.partitionBy("tracker").orderBy(place)
+    new = ~F.col("class").eqNullSafe(F.lag("class").over(w)) | (F.row_number().over(w) == 1)
+    return log.withColumn("run", F.sum(new.cast("long")).over(w))
+
+
+def map_models(runs: DataFrame) -> DataFrame:
+    """tracker, run, class, observations, intercept, per_record, per_byte of each stretch's map tasks."""
+    b = two_slopes(F.col("seconds"), F.col("records").cast("double"), F.col("bytes").cast("double"))
+    maps = runs.where("type = 'm'").groupBy("tracker", "run", "class")
+    return maps.agg(F.count(F.lit(1)).alias("observations"), *[x.alias(n) for n, x in zip(("intercept", "per_record", "per_byte"), b)])

@@ -56,3 +56,10 @@ def cost_deltas(df: DataFrame, task: list[str], order: list[str], counters: list
     w = Window.partitionBy(*task).orderBy(*order)
     diff = lambda c: F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))
     return df.select("*", *[diff(c).alias(f"d_{c}") for c in [*counters, groups]]).where(F.col(f"d_{groups}") > 0)
+
+
+def phase_weighted(progress: Column, elapsed: Column, phases_left: Column) -> Column:
+    """A phase's remaining seconds at its rate so far, and for each later phase as long as this one will have taken."""
+    rate = progress / F.greatest(elapsed, F.lit(0.001))
+    left = F.greatest(1 - progress, F.lit(1e-4)) / F.greatest(rate, F.lit(1e-9))
+    return left + (elapsed + left) * phases_left

@@ -47,6 +47,13 @@ def confirmed(now: set[str], before: set[str], needed: set[str]) -> set[str]:
     return now & (before | needed)
 
 
+def confirmed_rounds(rounds: DataFrame) -> DataFrame:
+    """rounds: round, task, required, a row for each candidate. Those that were candidates a round before, or are required."""
+    w = Window.partitionBy("task").orderBy("round")
+    again = F.lag("round").over(w) == F.col("round") - 1
+    return rounds.withColumn("_again", F.coalesce(again, F.lit(False))).where(F.col("_again") | F.col("required")).drop("_again")
+
+
 def reserved(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("job").agg(F.count_if(~F.col("state").isin("COMPLETE", "TAKEOVER")).alias("reserved"))
 
@@ -67,10 +74,19 @@ def split_count(asked: int, factor: float | None) -> int:
     return asked if factor is None else max(1, min(asked, int(factor)))
 
 
+def split_counts(asked: Column, factor: Column) -> Column:
+    """The same for a column."""
+    return F.when(factor.isNull(), asked).otherwise(F.greatest(F.lit(1), F.least(asked, F.floor(factor)))).cast("long")
+
+
 def scans_locally(remaining_bytes: int) -> bool:
     return remaining_bytes / DISK_BYTES < SCAN_SECONDS
 
 
+def local_scan(remaining_bytes: Column) -> Column:
+    return remaining_bytes / F.lit(float(DISK_BYTES)) < SCAN_SECONDS
+
+
 def complete_outputs(outputs: DataFrame) -> DataFrame:
     """Maps whose output is whole: the original's or a speculative one; a takeover needs both parts.
 
@@ -111,6 +127,46 @@ def advance(state: State, event: str) -> State:
     return TRANSITIONS.get((state, event), state)
 
 
+def final_state(events: Column) -> Column:
+    """The state that an array of event names leads to from RUNNING, by name."""
+    table = F.create_map(*[F.lit(x) for (state, event), to in TRANSITIONS.items() for x in (f"{state.name} {event}", to.name)])
+    return F.aggregate(events, F.lit(State.RUNNING.name), lambda state, event: F.coalesce(F.try_element_at(table, F.concat_ws(" ", state, event)), state))
+
+
+class Scheduler:
+    """Rounds of choosing tasks to split: at most one map and one reduce at a time, the slowest first.
+
+    A task is chosen when it was a candidate in the round before too, or is required. Nothing is chosen while a takeover
+    is pending or every slot is reserved.
+    """
+
+    def __init__(self) -> None:
+        self.before: set[str] = set()
+
+    def round(self, candidates: list[tuple[str, str, float]], required: set[str] = frozenset(), pending: int = 0, reserved: int = 0, capacity: int = 1) -> list[str]:
+        """candidates: task, type (m or r) and remaining seconds; returns the chosen tasks."""
+        if pending or reserved >= capacity:
+            return []
+        chosen: dict[str, str] = {}
+        waiting = set()
+        for task, kind, _ in sorted(candidates, key=lambda c: (-c[2], c[0])):
+            if kind in chosen:
+                continue
+            if task in self.before or task in required:
+                chosen[kind] = task
+            else:
+                waiting.add(task)
+        self.before = waiting
+        return sorted(chosen.values())
+
+
+def split_request(words: list[str], free_map_slots: int) -> tuple[str, int]:
+    """The task and number of parts of `split <task> [n]`: half the free map slots if n isn't given, and two at least."""
+    if len(words) not in (2, 3) or words[0] != "split":
+        raise ValueError("usage: split <task> [parts]")
+    return words[1], max(2, int(words[2]) if len(words) == 3 else free_map_slots // 2)
+
+
 def available(remaining: list[float], planned: list[float], slots: int) -> list[float]:
     """Seconds until each slot is free: busy ones by their tasks' remaining time or plan, the others now."""
     busy = sorted(max(0.0, x) for x in [*remaining, *planned])[-slots:] if slots else []
