@@ -264,8 +264,8 @@ FOUND = "doc_id long, n_words long, matches array<struct<license:string,first_wo
 def _scan(texts: list[tuple[str, str]]):
     kind = pa.list_(pa.struct([("license", pa.string()), ("first_word", pa.int64()), ("containment", pa.float64())]))
 
+    @caches.worker("words")
     def run(batches):
-        caches.claim("words")
         known = templates(texts)
         for whole in batches:
             for batch in _blocks(whole):

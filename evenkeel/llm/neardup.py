@@ -75,8 +75,8 @@ def band_hashes(least: np.ndarray) -> np.ndarray:
     return shingles.mixed((rows * shingles.PLACES[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
 
 
+@caches.worker("words")
 def _sign(batches):
-    caches.claim("words")
     for whole in batches:
         for batch in _blocks(whole):
             sizes, keys, packs, bands = [], [], [], []
@@ -162,6 +162,7 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+@caches.worker()
 def _estimate(batches):
     """Spanning forests of the pairs of each bucket that may be similar enough."""
     out: list[tuple[int, int]] = []
@@ -201,9 +202,9 @@ def linked_rows(sets: list[np.ndarray]):
         yield k, later[OF * shared >= NEED * (sizes[later] + sizes[k] - shared)]
 
 
+@caches.worker("words")
 def _verify(batches):
     """Spanning forests of the verified links of each block."""
-    caches.claim("words")
     out: list[tuple[int, int]] = []
     for group in _groups(batches, ("doc_id", "text")):
         sets = [shingles.shingle_set(x) for x in group["text"]]
@@ -271,6 +272,8 @@ def verified(docs: DataFrame):
     """check(rows of key and id): links (a, b) within each key, by the full sets of the documents."""
 
     def check(keyed: DataFrame) -> DataFrame:
+        # while the members are few, the other texts stay where they are
+        keyed = store.small(store.written(keyed, "members"))
         texts = _texts(docs).join(keyed, F.col("doc_id") == F.col("id")).select("key", "doc_id", "text")
         dealt = texts.repartition("key").sortWithinPartitions("key")
         return store.written(dealt.mapInArrow(_verify, "a long, b long").distinct(), "verified")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import caches, store
 from .token_files import _blocks
 from .tokenizing import encoder
 
@@ -38,6 +38,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_id
     end = np.array([end_id], "<u4").tobytes()
     names = ["row_key", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
+    @caches.worker("tokens")
     def run(batches):
         enc, key = encoder(vocabulary), TaskContext.get().partitionId() << 36
         for whole in batches:

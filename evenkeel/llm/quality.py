@@ -95,8 +95,8 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return all_keys[first], np.add.reduceat(all_counts, first)
 
 
+@caches.worker()
 def _count(batches):
-    caches.claim()
     held: dict[int, tuple[list, list]] = {}  # by model
 
     def emit():
@@ -284,8 +284,8 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def _score(ranges: list[tuple[str, int, int, int]]):
+    @caches.worker("words")
     def run(batches):
-        caches.claim("words")
         arrays = Arrays(ranges)
         for whole in batches:
             for batch in _blocks(whole, BLOCK_BYTES):

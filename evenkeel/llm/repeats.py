@@ -60,8 +60,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     return store.written(rows, "rows", compression="zstd")
 
 
+@caches.worker()
 def _parse(batches):
-    caches.claim()
     names = ["doc", "row", "at", "n", "mark", "anchor", "whole"]
     kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64]
     for whole in batches:
@@ -122,9 +122,9 @@ def repeated_windows(raw: np.ndarray, sizes: np.ndarray, anchor: np.ndarray, mar
     return chosen[owner], at - strings.low[owner]
 
 
+@caches.worker()
 def _index(batches):
     """Rows sorted by anchor and place: marks repeated windows, some whole anchors at a time."""
-    caches.claim()
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -154,6 +154,7 @@ def _index(batches):
         yield marked(pa.Table.from_batches(held).combine_chunks())
 
 
+@caches.worker()
 def _cut(batches):
     """Segment texts for the wanted places of each row."""
     names = ["anchor", "at", "n", "mark", "hot"]
@@ -178,6 +179,7 @@ def _cut(batches):
 CUT = "anchor long, doc long, row long, at int, mark int, bytes binary, hot boolean"
 
 
+@caches.worker()
 def _hashed(batches):
     """(window hash, doc, row, at) of every window of the segments of hot anchors."""
     for batch in batches:
@@ -229,8 +231,8 @@ def _merged(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _apply(keep_text: bool):
+    @caches.worker()
     def run(batches):
-        caches.claim()
         for whole in batches:
             for batch in _blocks(whole, BLOCK):
                 spans = batch.column("spans")

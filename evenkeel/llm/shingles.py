@@ -10,7 +10,7 @@ from . import caches
 SIZE = 5
 #: Fixed odd multipliers, from the golden ratio's bits by a rule: one for each place in a shingle and one for the length.
 PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(1, SIZE + 2)], np.uint64)
-HELD = 400_000
+HELD = 200_000
 
 
 class WordHashes(dict):

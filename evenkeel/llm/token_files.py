@@ -63,6 +63,7 @@ def _blocks(batch: pa.RecordBatch, limit: int = BATCH_BYTES):
 def _encode(vocabulary: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
+    @caches.worker("tokens")
     def run(batches):
         enc, part, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for whole in batches:
@@ -111,8 +112,8 @@ def select_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> Data
     return spark.read.schema(FILE_SCHEMA).parquet(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
 
 
+@caches.worker()
 def _crc(batches):
-    caches.claim()
     for batch in batches:
         ids = batch.column("ids")
         bounds = ids.offsets.to_numpy()
