@@ -118,17 +118,6 @@ def reduce_count_distinct(spark, d):
     return t(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
 
 
-@query("SELECT user_id, count(*) AS n, round(max(value) - min(value), 6) AS span FROM events GROUP BY user_id")
-def reduce_arbitrary(spark, d):
-    import pandas as pd
-
-    def span(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "n": [len(rows)], "span": [round(rows["value"].max() - rows["value"].min(), 6)]})
-
-    job = op.Job(group=["user_id"], sort=["ts", "event_id"], reducer=span, reducer_schema="user_id long, n long, span double")
-    return job.run(t(spark, d, "events").select("user_id", "event_id", "ts", "value"))
-
-
 @query("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS total, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def combiner_two_stage(spark, d):
     return op.combined(t(spark, d, "lineitem"), ["l_returnflag"], 16, F.col("l_orderkey"), [F.sum("l_extendedprice").alias("s"), F.count(F.lit(1)).alias("c")], [rounded(F.sum("s"), 2).alias("total"), F.sum("c").alias("n")])
@@ -245,22 +234,12 @@ def interval_sampler(spark, d):
     return samplers.interval_sample(rows, ["split"], ["o_orderkey"], 1, 8).select("o_orderkey")
 
 
-@query("""
-    WITH s AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders WHERE o_orderkey % 16 = 0)
-    SELECT CAST(k AS INTEGER) AS part, o_custkey AS point FROM s, range(1, 8) AS r(k) WHERE i = CAST(floor(n * k / 8.0 + 0.5) AS BIGINT)
-""")
-def split_points(spark, d):
-    """Of one class of orders, as the SQL says; ext_split_points_all takes them all."""
-    points = samplers.split_points_of(t(spark, d, "orders").where("o_orderkey % 16 = 0"), "o_custkey", 8)
-    return spark.createDataFrame([(i + 1, p) for i, p in enumerate(points)], "part int, point long")
-
-
 @query("""
     WITH s AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
     SELECT CAST(k AS INTEGER) AS part, o_custkey AS point FROM s, range(1, 8) AS r(k) WHERE i = CAST(floor(n * k / 8.0 + 0.5) AS BIGINT)
 """)
-def ext_split_points_all(spark, d):
-    """Over every order."""
+def split_points(spark, d):
+    """Points that cut all orders evenly by customer."""
     points = samplers.split_points_of(t(spark, d, "orders"), "o_custkey", 8)
     return spark.createDataFrame([(i + 1, p) for i, p in enumerate(points)], "part int, point long")
 
@@ -336,7 +315,8 @@ def ols_single(spark, d):
 
 
 @query("SELECT round(sum(l_quantity * l_discount), 4) AS s_qd, round(sum(l_quantity * l_quantity), 4) AS s_qq, round(sum(l_discount * l_discount), 4) AS s_dd, round(sum(l_quantity * l_extendedprice), 2) AS t_q FROM lineitem")
-def ols_multi(spark, d):
+def ols_moments(spark, d):
+    """The sums that the normal equations need."""
     return cost.moments(t(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"]).select(rounded(F.col("s_1_2")).alias("s_qd"), rounded(F.col("s_1_1")).alias("s_qq"), rounded(F.col("s_2_2")).alias("s_dd"), rounded(F.col("t_1"), 2).alias("t_q"))
 
 

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from evenkeel import functions as fx
 from evenkeel.operators.intervals import Interval, KeyPool, RecordPool, align
 from evenkeel.operators.partitioners import inverse, range_index
+from evenkeel.operators import samplers
 from evenkeel.operators.samplers import split_points
 from evenkeel.plans import cost, planner
 from evenkeel.sources import chunked, chunks_by_host, equal_splits, output_name
@@ -28,6 +29,44 @@ def test_linear_by_hand():
     assert [(r.start, r.end, r.bytes) for r in made.ranges] == [(0, 3, 60), (3, 6, 40)] and made.order == [0, 1]
 
 
+def test_a_range_grows_to_the_left_at_the_end():
+    sizes = planner.Sizes(parts(10, 10, 15, 10), 1.0)
+    assert planner.segment(sizes, (0, 4), 2, 35, 35, True) == (1, 4)
+    assert planner.segment(sizes, (2, 4), 2, 35, 35, True) == (2, 4)
+    assert planner.without((2, 9), 5, 7) == [(2, 5), (7, 9)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=30), st.integers(1, 6))
+def test_isolated_ranges_and_their_schedule(sizes, n):
+    made = planner.plan(parts(*sizes), [0.0] * n, "LONGEST2", 1.0)
+    share = sum(sizes) / n
+    for r in made.ranges:
+        if sizes[r.start] >= share:
+            assert r.end == r.start + 1
+    by_slot: dict = {}
+    for r in made.ranges:
+        by_slot.setdefault(r.slot, []).append((r.at, r.time))
+    for taken in by_slot.values():
+        taken.sort()
+        assert all(a + x <= b + 1e-9 for (a, x), (b, _) in zip(taken, taken[1:]))
+
+
+def test_reservoir_by_hand():
+    held = samplers.Reservoir(0.5, 2)
+    for item, chance, place in ((1, 0.9, 0), (2, 0.5, 0), (3, 0.1, 0), (4, 0.3, 1), (5, 0.3, 0), (6, 0.2, 0)):
+        held.offer(item, chance, place)
+    # 1 is over the rate; 4 replaces 3 and the rate falls to 0.25; 5 is over that; 6 replaces 2
+    assert held.items == [6, 4] and held.rate == 0.125
+
+
+def test_queues():
+    queue = fx.DrainingQueue([5, 1, 9, 3])
+    assert queue.take_while(lambda x: x < 4) == [1, 3] and queue.take_while(lambda x: x > 6) == []
+    queue.add(2)
+    assert list(queue) == [2, 5, 9] and list(queue) == []
+
+
 def test_rehash_and_max_slots_by_hand():
     made = planner.rehash([0, 0, 10], 50, 100)
     assert (made.prime, made.cumulative) == (101, [40, 81, 101])
