@@ -47,12 +47,13 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL expresses neither the perplexity model nor the packing; tests hold the stages against brute force.
+#: SQL expresses neither the perplexity model nor the packing; tests/llm/test_pipeline.py holds the stages against what they must keep.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = store.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, store.settled(lambda: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        store.discard(before)
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, neardup, packing, pii, quality, repeats, secrets, token_files, warc
+from . import decontam, licenses, neardup, packing, pii, quality, repeats, secrets, store, token_files, warc
 
 CAPACITY, PACK_END, FILE_END = 2048, 0, 1
 
@@ -22,43 +22,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.digest(table(spark, sf_dir, "documents"))
+    return store.settled(lambda: quality.digest(table(spark, sf_dir, "documents")), "op1_kneser_ney_quality")
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return store.settled(lambda: decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")), "op2_winnowing")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), CAPACITY, PACK_END)
+    return store.settled(lambda: packing.pack(table(spark, sf_dir, "documents"), vocabulary(), CAPACITY, PACK_END), "op3_best_fit_packing")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.digest(table(spark, sf_dir, "documents"))
+    return store.settled(lambda: licenses.digest(table(spark, sf_dir, "documents")), "op4_license_scan")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary(), FILE_END)
+    return store.settled(lambda: token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary(), FILE_END), "op5_token_files")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove(table(spark, sf_dir, "documents"))
+    return store.settled(lambda: repeats.remove(table(spark, sf_dir, "documents")), "op6_repeats")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(table(spark, sf_dir, "documents"))
+    return store.settled(lambda: pii.digest(table(spark, sf_dir, "documents")), "op7_pii")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(table(spark, sf_dir, "documents"))
+    return store.settled(lambda: secrets.digest(table(spark, sf_dir, "documents")), "op8_secrets")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.clusters(table(spark, sf_dir, "documents"))
+    return store.settled(lambda: neardup.clusters(table(spark, sf_dir, "documents")), "op9_minhash")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return store.settled(lambda: warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "op10_warc")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

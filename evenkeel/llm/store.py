@@ -2,14 +2,16 @@
 
 Lineage is cut by writing Parquet there and reading it back, so a lost executor
 costs only the tasks it was running, never a stage that is already written.
-Tables that nothing will read again are deleted with `discard`; what a returned
-DataFrame still reads stays.
+Tables that nothing will read again are deleted: by `discard`, and by `settled`,
+which writes a result and deletes all that was written on the way to it.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +39,14 @@ def settings(spark: SparkSession):
             spark.conf.unset(key)
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/evenkeel-{uuid.uuid4().hex}/{label}"
+    path = f"{shared_dir(spark)}/evenkeel-{uuid.uuid4().hex}/{label}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, label: str, path: str | None = None, **options: str) -> DataFrame:
@@ -55,6 +63,20 @@ def written(df: DataFrame, label: str, path: str | None = None, **options: str)
     return out
 
 
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What make() returns, as a written table; every other table that was written inside is deleted."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        out = written(make(), label)
+    finally:
+        _made.reset(token)
+    discard(*(path for path in made if path != out._stored_at))
+    if (outer := _made.get()) is not None:
+        outer.append(out._stored_at)
+    return out
+
+
 def small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
     """A written table of a few numbers a row, marked for broadcast while it has at most `rows` rows."""
     return F.broadcast(df) if df.count() <= rows else df

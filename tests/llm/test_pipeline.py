@@ -130,5 +130,16 @@ def test_discarded_tables_are_gone(spark):
     store.discard(outside)  # not a written table: nothing happens
 
 
+def test_only_results_stay_behind(spark, stages):
+    import glob
+
+    folder, _ = stages
+    root = store.shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/evenkeel-*/*"))
+    corpus_pipeline.run(spark, folder).count()
+    left = set(glob.glob(f"{root}/evenkeel-*/*")) - before
+    assert [x.rsplit("/", 1)[1] for x in left] == ["packing"]
+
+
 def test_words_are_those_of_the_contract():
     assert re.fullmatch(r"[0-9a-z ]+", made()[1])
