@@ -50,8 +50,10 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 
 
 def _open(path: str):
+    """The file system and the name in it of a path as Spark gives it."""
     from pyarrow import fs
 
+    path = path.replace("s3a://", "s3://", 1)
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path.replace("file:", "file://", 1))
 
 
