@@ -338,6 +338,13 @@ def force_sort(spark, d):
     return rows.select(F.col("pid").cast("long").alias("pid"), "l_orderkey", "l_linenumber", at.cast("long").alias("place"))
 
 
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) - 1 AS place FROM events")
+def secondary_sort_stream(spark, d):
+    """Whole groups as a reducer streams them, in an order finer than the groups."""
+    rows = op.secondary_sorted(t(spark, d, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id")], ["user_id", "event_id"]).withColumn("at", F.monotonically_increasing_id())
+    return rows.select("user_id", "event_id", (F.col("at") - F.min("at").over(Window.partitionBy("user_id"))).alias("place"))
+
+
 @query("SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem GROUP BY l_suppkey")
 def secondary_partitioner(spark, d):
     """A reduce placed by the user's own partitioner."""
@@ -438,6 +445,20 @@ def ols_multi(spark, d):
     return spark.createDataFrame([(round(b[0], 2), round(b[1], 3), round(b[2], 2))], "intercept double, per_quantity double, per_discount double")
 
 
+@query("""
+    WITH m AS (SELECT avg(l_extendedprice) AS y, avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_tax) AS c, covar_pop(l_quantity, l_quantity) AS aa, covar_pop(l_discount, l_discount) AS bb, covar_pop(l_tax, l_tax) AS cc,
+               covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_tax) AS ac, covar_pop(l_discount, l_tax) AS bc, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS byy, covar_pop(l_tax, l_extendedprice) AS cy FROM lineitem),
+    d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS whole FROM m),
+    s AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (byy * cc - bc * cy) + ac * (byy * bc - bb * cy)) / whole AS s1, (aa * (byy * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - byy * ac)) / whole AS s2,
+                 (aa * (bb * cy - byy * bc) - ab * (ab * cy - byy * ac) + ay * (ab * bc - bb * ac)) / whole AS s3 FROM d)
+    SELECT round(y - s1 * a - s2 * b - s3 * c, 2) AS intercept, round(s1, 3) AS per_quantity, round(s2, 2) AS per_discount, round(s3, 2) AS per_tax FROM s
+""")
+def ols_three_regressors(spark, d):
+    """The same with three, as for a reduce."""
+    b = cost.fit(t(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return spark.createDataFrame([(round(b[0], 2), round(b[1], 3), round(b[2], 2), round(b[3], 2))], "intercept double, per_quantity double, per_discount double, per_tax double")
+
+
 @query("SELECT c % 50 AS span, round(2.7861694 + 2.4023880e-6 * sum(n) + 9.1139572e-8 * sum(b), 9) AS seconds FROM (SELECT o_custkey AS c, count(*) AS n, sum(strlen(CAST(o_orderkey AS VARCHAR))) AS b FROM orders GROUP BY o_custkey) GROUP BY 1")
 def incremental_cost(spark, d):
     """The cost of ranges of partitions, the intercept once a range."""
