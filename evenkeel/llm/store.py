@@ -68,7 +68,9 @@ def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
     made: list[str] = []
     token = _made.set(made)
     try:
-        out = written(make(), label)
+        out = make()
+        if getattr(out, "_stored_at", None) not in made:
+            out = written(out, label)
     finally:
         _made.reset(token)
     discard(*(path for path in made if path != out._stored_at))
