@@ -44,7 +44,7 @@ FILE_OPTIONS = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 BATCH_BYTES = 4 << 20
-LEAD = 64
+LEAD = 16
 
 
 def _blocks(batch: pa.RecordBatch, limit: int = BATCH_BYTES):
