@@ -93,6 +93,26 @@ def test_each_piece_goes_where_the_sum_of_squares_is_least():
             gaps[n] = gaps.get(n, capacity) - size
 
 
+def test_sequences_hold_the_documents(docs):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary())
+    pieces = Counter()
+    for _, text in TEXTS:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
+        pieces.update(tuple(ids[k : k + 300]) for k in range(0, len(ids), 300))
+    rows = [r["ids"] for r in packing.sequences(docs, vocabulary(), 300).collect()]
+    assert all(0 < len(r) <= 300 for r in rows) and sum(map(len, rows)) == sum(len(p) * n for p, n in pieces.items())
+    left = Counter(pieces)
+    for r in rows:  # a sequence is its pieces one after the other, and every piece but a cut one ends with the end id
+        at = 0
+        while at < len(r):
+            size = next(n for n in range(len(r) - at, 0, -1) if left[tuple(r[at : at + n])])
+            left[tuple(r[at : at + size])] -= 1
+            at += size
+    assert not +left
+
+
 def test_a_few_documents_are_read_by_their_pages(spark):
     from evenkeel.llm import store
 
