@@ -30,6 +30,8 @@ from .token_files import _blocks
 from .tokenizing import encoder
 
 GROUP = 60_000
+#: Smaller than token files take them: packing comes last in a pipeline, in executors that are full of what was before.
+STEMS, BLOCK_BYTES = 200_000, 2 << 20
 PIECES = "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,9 +42,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_id
 
     @caches.worker("tokens")
     def run(batches):
-        enc, key = encoder(vocabulary), TaskContext.get().partitionId() << 36
+        enc, key = encoder(vocabulary, most_stems=STEMS), TaskContext.get().partitionId() << 36
         for whole in batches:
-            for batch in _blocks(whole):
+            for batch in _blocks(whole, BLOCK_BYTES):
                 rows = []
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist())):
                     ids += end

@@ -28,11 +28,12 @@ _encoders: dict[str, "Encoder"] = {}
 caches.register("tokens", _encoders.clear)
 
 
-def encoder(path: str) -> "Encoder":
-    """One per Python worker and vocabulary; workers are reused between tasks."""
+def encoder(path: str, most_stems: int | None = None) -> "Encoder":
+    """One per Python worker and vocabulary; workers are reused between tasks. `most_stems` keeps its largest table smaller."""
     caches.claim("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most_stems = most_stems
     return _encoders[path]
 
 
@@ -70,6 +71,7 @@ class Encoder:
             self.word_ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.small = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.most_stems: int | None = None
         self._empty_pieces()
         self._empty_stems()
 
@@ -124,7 +126,7 @@ class Encoder:
 
     def _stems(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The same for different letters: their ids, one after the other, and their numbers."""
-        if len(self.stems) > CACHE_STEMS or self.stems.nbytes > CACHE_BYTES:
+        if len(self.stems) > (CACHE_STEMS if self.most_stems is None else self.most_stems) or self.stems.nbytes > CACHE_BYTES:
             self._empty_stems()
         at = np.array(pc.fill_null(pc.index_in(words, value_set=self.stems), -1).to_numpy(zero_copy_only=False), np.int64)
         missing = at < 0
