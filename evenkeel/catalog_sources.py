@@ -419,7 +419,7 @@ def circular_weight_buffer(spark, d):
     SELECT tracker, run, class, observations, round(ym - s1 * am - s2 * bm, 4) AS intercept, round(s1, 6) AS per_record, round(s2, 6) AS per_byte FROM s
 """)
 def cost_log_models(spark, d):
-    """A cost log written as text and read by its lines: a model for each stretch of one class, as a class that comes back begins anew."""
+    """A cost log written as text, in files that follow each other, and read by its lines: a model for each stretch of one class, as a class that comes back begins anew."""
     top = t(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] + 1
     k = F.col("o_orderkey")
     bytes_, records = 1 + k * 37 % 5000, k * 11 % 400
@@ -427,8 +427,9 @@ def cost_log_models(spark, d):
     kind = F.when(k % 3 == 0, "r").otherwise("m")
     fields = [F.concat(F.lit("t"), (F.col("o_custkey") % 2).cast("string")), F.lit("job"), kind, k.cast("string"), seconds.cast("string"), bytes_.cast("string"), records.cast("string"), F.when(k % 3 == 0, "9").otherwise(""), F.when((k * 10 >= top * 4) & (k * 10 < top * 7), "B").otherwise("A")]
     path = sources.scratch(spark, "cost-log")
-    t(spark, d, "orders").coalesce(1).sortWithinPartitions("o_orderkey").select(F.concat_ws(",", *fields).alias("value")).write.text(path)
-    runs = cost.log_runs(cost.parse_cost_log(sources.text_lines(spark, path)), "offset")
+    # files' names are in the order of the ranges
+    t(spark, d, "orders").select("o_orderkey", "o_custkey").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select(F.concat_ws(",", *fields).alias("value")).write.text(path)
+    runs = cost.log_runs(cost.parse_cost_log(sources.text_lines(spark, path)), "file", "offset")
     found = cost.map_models(cost.observations(runs))
     return found.select("tracker", "run", "class", "observations", rounded(F.col("intercept"), 4).alias("intercept"), rounded(F.col("per_record"), 6).alias("per_record"), rounded(F.col("per_byte"), 6).alias("per_byte"))
 

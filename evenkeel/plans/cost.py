@@ -113,14 +113,28 @@ def two_slopes(y: Column, a: Column, b: Column) -> list[Column]:
     return [F.avg(y) - first * F.avg(a) - second * F.avg(b), first, second]
 
 
-def log_runs(log: DataFrame, place: str) -> DataFrame:
+#: A cost log's stretches are told apart in slices of this many bytes.
+SLICE = 1 << 20
+
+
+def log_runs(log: DataFrame, file: str, place: str, slice_bytes: int = SLICE) -> DataFrame:
     """A cost log with a `run` for each stretch of one class: a model is fitted to a stretch, as a class that comes back is new.
 
-    The log's lines are dealt by tracker; `place` orders them.
+    Lines are ordered by file and by `place` in it, each tracker's by themselves. Files are cut into slices: a line's run
+    follows from the changes before it in its slice and in the slices before, of which there is one row a tracker each. No
+    task sees all of a tracker's lines.
     """
-    w = Window.partitionBy("tracker").orderBy(place)
-    new = ~F.col("class").eqNullSafe(F.lag("class").over(w)) | (F.row_number().over(w) == 1)
-    return log.withColumn("run", F.sum(new.cast("long")).over(w))
+    cut = log.withColumn("_slice", F.floor(F.col(place) / F.lit(slice_bytes)))
+    keys = ["tracker", file, "_slice"]
+    w = Window.partitionBy(*keys).orderBy(place)
+    changed = ~F.col("class").eqNullSafe(F.lag("class").over(w)) & (F.row_number().over(w) > 1)
+    rows = cut.withColumn("_changes", F.sum(changed.cast("long")).over(w))
+    slices = rows.groupBy(*keys).agg(F.min_by("class", place).alias("_first"), F.max_by("class", place).alias("_last"), F.max("_changes").alias("_within"))
+    order = Window.partitionBy("tracker").orderBy(file, "_slice")
+    begins = ~F.col("_first").eqNullSafe(F.lag("_last").over(order)) | (F.row_number().over(order) == 1)
+    within = F.coalesce(F.sum("_within").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = slices.select(*keys, (F.sum(begins.cast("long")).over(order) + within).alias("_start"))
+    return rows.join(starts, keys).withColumn("run", F.col("_start") + F.col("_changes")).drop("_slice", "_changes", "_start")
 
 
 def map_models(runs: DataFrame) -> DataFrame:

@@ -16,21 +16,27 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: A text file's lines are numbered in chunks of 2^CHUNK.
+CHUNK = 14
+
+
 def text_lines(spark: SparkSession, path: str, longest: int | None = None) -> DataFrame:
     """file, offset (in bytes) and value of each line that ends with a line feed; lines over `longest` bytes are skipped.
 
     Spark cuts files into ranges and gives each line to the range that it starts in. Lines' places follow from the bytes
-    of the lines before: in the range, by the order of reading, and in the ranges before, of which there is one row each.
+    of the lines before: in a chunk of the range, by the order of reading, and in the chunks before, of which there is one
+    row each. No task sorts a whole range.
     """
     read = spark.read.option("lineSep", "\n").text(path)
     size = F.octet_length("value") + 1
     lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
-    of_blocks = lines.groupBy("file", "block").agg(F.sum(size).alias("bytes"))
-    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = of_blocks.select("file", "block", before.alias("base"))
-    inner = F.coalesce(F.sum(size).over(Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # lines lie by range already, so the join moves a row a range
-    placed = lines.withColumn("inner", inner).join(base, ["file", "block"]).select("file", (F.col("base") + F.col("inner")).cast("long").alias("offset"), "value")
+    lines = lines.withColumn("chunk", F.shiftright("line", CHUNK))
+    of_chunks = lines.groupBy("file", "block", "chunk").agg(F.sum(size).alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = of_chunks.select("file", "block", "chunk", before.alias("base"))
+    inner = F.coalesce(F.sum(size).over(Window.partitionBy("file", "block", "chunk").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # lines lie by chunk already, so the join moves a row a chunk
+    placed = lines.withColumn("inner", inner).join(base, ["file", "block", "chunk"]).select("file", (F.col("base") + F.col("inner")).cast("long").alias("offset"), "value")
     return placed if longest is None else placed.where(F.octet_length("value") <= longest)
 
 

@@ -6,7 +6,7 @@ from evenkeel import functions as fx
 from evenkeel import operators as op
 from evenkeel import sources
 from evenkeel.operators import partitioners, samplers
-from evenkeel.plans import reactive
+from evenkeel.plans import cost, reactive
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,6 +98,50 @@ def test_lines_have_their_byte_offsets_in_every_range(spark, tmp_path):
     assert sorted((r["offset"], r["value"]) for r in found) == want
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def most_in_a_task(df):
+    """The largest share of the rows that one task holds."""
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("at")).count().collect()]
+    return max(counts) / sum(counts)
+
+
+def test_a_file_range_is_numbered_by_several_tasks(uncoalesced, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "CHUNK", 4, raising=False)
+    lines = [f"line {i} " + "é" * (i % 23) for i in range(2000)]
+    (tmp_path / "f.txt").write_bytes("\n".join(lines).encode() + b"\n")
+    found = sources.text_lines(uncoalesced, str(tmp_path / "f.txt"))
+    at, want = 0, []
+    for line in lines:
+        want.append((at, line))
+        at += len(line.encode()) + 1
+    assert sorted((r["offset"], r["value"]) for r in found.collect()) == want
+    assert most_in_a_task(found) < 0.6
+
+
+def test_stretches_of_a_log_go_on_over_slices_and_files(uncoalesced):
+    classes = ["A"] * 40 + ["B"] * 3 + [None] * 2 + ["A"] * 90 + ["B", "A"] * 20 + ["C"] * 200
+    log = [(f"t{i % 3 % 2}", f"part-{i // 100}", i % 100 * 10, c, i) for i, c in enumerate(classes)]
+    df = uncoalesced.createDataFrame(log, "tracker string, file string, offset long, class string, i long").repartition(4)
+    runs, held, want = {}, {}, {}
+    for tracker, _, _, c, i in log:
+        if tracker not in runs or held[tracker] != c:
+            runs[tracker] = runs.get(tracker, 0) + 1
+        held[tracker], want[i] = c, runs[tracker]
+    for slice_bytes in (10, 70, 1 << 20):
+        got = cost.log_runs(df, "file", "offset", slice_bytes)
+        assert {r["i"]: r["run"] for r in got.collect()} == want
+    one = cost.log_runs(df.withColumn("tracker", F.lit("t")), "file", "offset", 70)
+    assert most_in_a_task(one) < 0.6
+
+
 def test_map_output_is_read_by_key(spark, tmp_path):
     path = str(tmp_path / "out")
     rows_ = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
