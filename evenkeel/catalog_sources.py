@@ -323,19 +323,16 @@ def random_sampler(spark, d):
 @query("SELECT o_custkey % 5 AS pid, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_custkey, o_orderkey) AS place FROM orders")
 def sort_by_partition_and_key(spark, d):
     """What a map hands over: rows in their partition, in key order."""
-    rows = op.sorted_by_partition(t(spark, d, "orders").select("o_custkey", "o_orderkey"), F.col("o_custkey") % 5, 5, ["o_custkey", "o_orderkey"])
-    # a row's number as read shows the order that the partition is in
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return rows.select(F.col("pid").cast("long").alias("pid"), "o_orderkey", at.cast("long").alias("place"))
+    rows = op.sorted_by_partition(t(spark, d, "orders").select("o_custkey", "o_orderkey"), F.col("o_custkey") % 5, ["o_custkey", "o_orderkey"])
+    return rows.select(F.col("pid").cast("long").alias("pid"), "o_orderkey", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT CAST(l_partkey % 4 AS BIGINT) AS pid, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey % 4 ORDER BY l_partkey, l_orderkey, l_linenumber, l_suppkey) AS place FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01'")
 def force_sort(spark, d):
-    """The part of a map's input that a reactive map-only job gets, sorted with the original partitioner and number of reduces."""
+    """The part of a map's input that a reactive map-only job gets, sorted with the original partitioner."""
     rest = t(spark, d, "lineitem").where("l_shipdate >= timestamp '1996-01-01'").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
-    rows = op.sorted_by_partition(rest, F.col("l_partkey") % 4, 4, ["l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"])
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return rows.select(F.col("pid").cast("long").alias("pid"), "l_orderkey", "l_linenumber", at.cast("long").alias("place"))
+    rows = op.sorted_by_partition(rest, F.col("l_partkey") % 4, ["l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"])
+    return rows.select(F.col("pid").cast("long").alias("pid"), "l_orderkey", "l_linenumber", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) - 1 AS place FROM events")

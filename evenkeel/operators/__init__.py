@@ -144,11 +144,24 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def sorted_by_partition(df: DataFrame, pid: Column, n: int, order: list[Column | str]) -> DataFrame:
-    """What a map task hands over: rows in the partition that `pid` names, sorted within it. Of a part of the rows too: with the same `pid` and n the parts fit together."""
-    from .partitioners import place
+def sorted_by_partition(df: DataFrame, pid: Column, order: list[Column | str]) -> DataFrame:
+    """What a map task hands over: rows by the partition that `pid` names, sorted within it, with their `place` there, from 0.
 
-    return place(df, pid, n).sortWithinPartitions("pid", *order)
+    A partition may go through several tasks, in ranges that follow each other, so that none sorts all of it. Of a part of
+    the rows too: with the same `pid` the parts fit together.
+    """
+    from ..sources import materialized
+    from .partitioners import ranged
+
+    # both uses must see the same ranges, and these are drawn from a sample
+    rows = materialized(ranged(df.withColumn("pid", pid.cast("int")), ["pid", *order]))
+    rows = rows.withColumn("_slice", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    runs = rows.groupBy("_slice", "pid").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("pid").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each partition and range it goes through; null is a partition too
+    bases = runs.select(F.col("_slice").alias("_s"), F.col("pid").alias("_p"), (before - F.col("_first")).alias("_base"))
+    joined = rows.join(F.broadcast(bases), (F.col("_slice") == F.col("_s")) & F.col("pid").eqNullSafe(F.col("_p")))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != "pid"], "pid", (F.col("_base") + F.col("_at")).cast("long").alias("place"))
 
 
 def cogrouped(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

@@ -90,5 +90,12 @@ def place(df: DataFrame, pid: Column, n: int) -> DataFrame:
     return df.withColumn("pid", pid.cast("int")).repartitionById(n, "pid")
 
 
+def ranged(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """Rows in ranges of `order` that follow each other, sorted within. Rows that are equal in it but not in all columns may lie in several."""
+    # maps can't be hashed
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()])
+    return df.repartitionByRange(*order, rest).sortWithinPartitions(*order)
+
+
 def load(df: DataFrame, pid: Column, rec_bytes: Column) -> DataFrame:
     return df.groupBy(pid.cast("int").alias("pid")).agg(F.count(F.lit(1)).alias("records"), F.sum(rec_bytes).cast("long").alias("bytes"))

@@ -142,6 +142,23 @@ def test_stretches_of_a_log_go_on_over_slices_and_files(uncoalesced):
     assert most_in_a_task(one) < 0.6
 
 
+def test_a_partition_is_sorted_by_several_tasks(uncoalesced):
+    # half of the rows lie in one partition, and most of these have one key
+    keys = [(0 if i % 2 else None if i % 6 == 0 else i % 3 - 3, 7 if i % 20 else i, i) for i in range(4000)]
+    df = uncoalesced.createDataFrame(keys, "p int, k long, i long").repartition(3)
+    got = op.sorted_by_partition(df, F.col("p"), ["k"]).select("p", "pid", "k", "i", "place", F.spark_partition_id().alias("at")).collect()
+    assert sorted(r["i"] for r in got) == list(range(4000)) and all(r["p"] == r["pid"] for r in got)
+    for pid in (None, -2, -1, 0):
+        own = [r for r in got if r["pid"] == pid]
+        # as handed over, partition by partition
+        assert [r["place"] for r in own] == list(range(len(own)))
+        assert [r["k"] for r in own] == sorted(k for p, k, _ in keys if p == pid)
+    counts = {}
+    for r in got:
+        counts[r["at"]] = counts.get(r["at"], 0) + 1
+    assert len(got) == 4000 and max(counts.values()) < 0.45 * 4000
+
+
 def test_map_output_is_read_by_key(spark, tmp_path):
     path = str(tmp_path / "out")
     rows_ = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
