@@ -170,8 +170,13 @@ def in_split(position: Column, split: Split) -> Column:
 
 
 def write_map_output(df: DataFrame, path: str, pid: Column, key: list[str]) -> None:
-    """Rows of each reduce partition in a directory of its own, sorted by key so that row groups hold ranges of keys."""
-    df.withColumn("pid", pid.cast("int")).repartition("pid").sortWithinPartitions("pid", *key).write.mode("overwrite").partitionBy("pid").parquet(path)
+    """Rows of each reduce partition in a directory of its own, sorted by key so that files and row groups hold ranges of keys.
+
+    A partition's ranges are written by several tasks, so that none sorts all of it.
+    """
+    from ..operators.partitioners import ranged
+
+    ranged(df.withColumn("pid", pid.cast("int")), ["pid", *key]).write.mode("overwrite").partitionBy("pid").parquet(path)
 
 
 def read_map_output(spark: SparkSession, path: str, pid: int, key: str, low=None, high=None, columns: list[str] | None = None) -> DataFrame:

@@ -169,6 +169,20 @@ def test_map_output_is_read_by_key(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(pid" in plan and "GreaterThan(k,10), LessThanOrEqual(k,30)" in plan
 
 
+def test_map_output_is_written_by_several_tasks(uncoalesced, tmp_path):
+    path = str(tmp_path / "out")
+    # most rows lie in one partition, and most of these have one key
+    rows_ = uncoalesced.range(6000).select(F.when(F.col("id") % 4 > 0, 8).otherwise(F.col("id") % 50).alias("k"), "id").repartition(3)
+    sources.write_map_output(rows_, path, F.col("k") % 4, ["k"])
+    assert rows(uncoalesced.read.parquet(path).select("k", "id")) == rows(rows_)
+    files = list((tmp_path / "out" / "pid=0").glob("*.parquet"))
+    held = [[r["k"] for r in uncoalesced.read.parquet(str(f)).coalesce(1).collect()] for f in files]
+    assert all(k == sorted(k) for k in held) and max(map(len, held)) < 0.4 * 6000
+    ends = sorted((k[0], k[-1]) for k in held)
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+    assert rows(sources.read_map_output(uncoalesced, path, 0, "k", 4, 8)) == sorted((r["k"], r["id"]) for r in rows_.collect() if r["k"] == 8)
+
+
 def test_jobs_are_submitted_and_killed(spark):
     import time
 
