@@ -183,6 +183,19 @@ def test_map_output_is_written_by_several_tasks(uncoalesced, tmp_path):
     assert rows(sources.read_map_output(uncoalesced, path, 0, "k", 4, 8)) == sorted((r["k"], r["id"]) for r in rows_.collect() if r["k"] == 8)
 
 
+def test_keys_are_read_from_all_files_of_a_partition(uncoalesced, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "scratch", lambda spark, label: str(tmp_path / label))
+    uncoalesced.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = catalog.QUERIES["reactive_map_output_keys"](uncoalesced, SF)
+    finally:
+        uncoalesced.conf.set("spark.sql.shuffle.partitions", "4")
+    files = list((tmp_path / "map-output" / "pid=1").glob("*.parquet"))
+    held = [uncoalesced.read.parquet(str(f)).count() for f in files]
+    assert sum(held) == catalog.t(uncoalesced, SF, "lineitem").where("l_partkey % 4 = 1").count() and max(held) < 0.75 * sum(held)
+    assert "ReadSchema: struct<l_partkey:bigint,rec_bytes:bigint>" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_jobs_are_submitted_and_killed(spark):
     import time
 
