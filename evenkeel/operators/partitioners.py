@@ -91,10 +91,15 @@ def place(df: DataFrame, pid: Column, n: int) -> DataFrame:
 
 
 def ranged(df: DataFrame, order: list[Column | str]) -> DataFrame:
-    """Rows in ranges of `order` that follow each other, sorted within. Rows that are equal in it but not in all columns may lie in several."""
+    """Rows in ranges of `order` that follow each other, sorted within. Rows that are equal in it but not in all columns may lie in several.
+
+    There are spark.sql.shuffle.partitions ranges. Their number is given, as adaptive execution would gather ranges by their
+    compressed bytes, and a hot key's rows shrink to so few that most of them would come back to one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # maps can't be hashed
     rest = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()])
-    return df.repartitionByRange(*order, rest).sortWithinPartitions(*order)
+    return df.repartitionByRange(n, *order, rest).sortWithinPartitions(*order)
 
 
 def load(df: DataFrame, pid: Column, rec_bytes: Column) -> DataFrame:

@@ -183,6 +183,17 @@ def test_map_output_is_written_by_several_tasks(uncoalesced, tmp_path):
     assert rows(sources.read_map_output(uncoalesced, path, 0, "k", 4, 8)) == sorted((r["k"], r["id"]) for r in rows_.collect() if r["k"] == 8)
 
 
+def test_ranges_of_a_hot_key_are_not_gathered_again(spark, tmp_path):
+    path = str(tmp_path / "out")
+    # adaptive execution may coalesce, and these rows take few bytes
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+    rows_ = spark.range(6000).select(F.when(F.col("id") % 4 > 0, 8).otherwise(F.col("id") % 50).alias("k"), "id").repartition(3)
+    sources.write_map_output(rows_, path, F.col("k") % 4, ["k"])
+    held = [spark.read.parquet(str(f)).count() for f in (tmp_path / "out" / "pid=0").glob("*.parquet")]
+    assert max(held) < 0.4 * 6000
+    assert rows(spark.read.parquet(path).select("k", "id")) == rows(rows_)
+
+
 def test_keys_are_read_from_all_files_of_a_partition(uncoalesced, tmp_path, monkeypatch):
     monkeypatch.setattr(sources, "scratch", lambda spark, label: str(tmp_path / label))
     uncoalesced.conf.set("spark.sql.shuffle.partitions", "16")
